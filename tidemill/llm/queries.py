@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash
+from . import arrow_tokens, decontam, packing, simhash
+from .token_ids import vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_tokens.read(arrow_tokens.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -24,7 +33,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_arrow_tokens": op3_arrow_tokens,
     "op5_simhash": op5_simhash,
+    "op7_packing": op7_packing,
     "op10_decontaminate": op10_decontaminate,
 }
 
