@@ -44,11 +44,12 @@ def test_arrow_query_matches_the_library(spark):
     assert sorted(tuple(r) for r in op3_arrow_tokens(spark, SF).collect()) == want
 
 
-def test_arrow_rows_are_equal_and_mapped(tmp_path):
+@pytest.mark.parametrize("bits", [16, 32])
+def test_arrow_rows_are_equal_and_mapped(tmp_path, bits):
     import pyarrow as pa
 
     uri = f"file://{tmp_path}/a.arrows"
-    out = arrow_tokens.Writer(uri, pa.int64(), length=8, rows=2)
+    out = arrow_tokens.Writer(uri, pa.int64(), length=8, rows=2, bits=bits)
     stream = list(range(1, 38))
     out.add(5, np.array(stream[:20], "<u4").tobytes())
     out.add(6, np.array(stream[20:], "<u4").tobytes())
@@ -56,7 +57,7 @@ def test_arrow_rows_are_equal_and_mapped(tmp_path):
     seq = arrow_tokens.Sequences(uri)
     assert len(seq) == 5
     ids, mask = seq.row(4)
-    assert ids.tolist() == [33, 34, 35, 36, 37, 0, 0, 0] and mask.tolist() == [1] * 5 + [0] * 3
+    assert ids.tolist() == [33, 34, 35, 36, 37, 0, 0, 0] and mask.to_pylist() == [True] * 5 + [False] * 3
     assert not ids.flags.owndata
     assert [x for p in seq.tokens(3, 30) for x in p.tolist()] == stream[3:33]
     assert list(seq.documents()) == [(5, 0, 20), (6, 20, 17)]

@@ -1,10 +1,10 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
 The documents' ids, each closed by an end id, form one stream in ascending doc_id order. A file holds a range of
-documents as rows of equal length: input_ids (fixed-size list of unsigned 32-bit ids) and mask (fixed-size list of
-bytes, 1 for a token, 0 for the padding of a file's last row). All batches but the last have as many rows, so any
-row's place follows by arithmetic, and a mapped file gives it without a copy. Beside each file, a second stream
-lists its documents (doc_id, start within the file, n_tokens).
+documents as rows of equal length: input_ids (fixed-size list of unsigned ids, of 16 bits where the vocabulary allows,
+else of 32) and mask (fixed-size list of bits, 1 for a token, 0 for the padding of a file's last row). All batches but
+the last have as many rows, so any row's place follows by arithmetic, and a mapped file gives it without a copy.
+Beside each file, a second stream lists its documents (doc_id, start within the file, n_tokens).
 
 Files go to the shared folder under names of their own; the manifest that Spark commits names those of the
 attempts that ended well, so a lost executor leaves at most an unnamed file.
@@ -34,10 +34,11 @@ END = b"\x00\x00\x00\x00"
 class Writer:
     """One file and its list of documents."""
 
-    def __init__(self, uri: str, kind: pa.DataType, length: int = LENGTH, rows: int = ROWS):
+    def __init__(self, uri: str, kind: pa.DataType, length: int = LENGTH, rows: int = ROWS, bits: int = 32):
         self.system, path = fs.FileSystem.from_uri(uri)
         self.length, self.rows, self.left, self.total, self.docs = length, rows, bytearray(), 0, []
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))], {"length": str(length), "rows": str(rows)})
+        self.dtype = np.dtype(f"<u{bits // 8}")
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(f"u{bits // 8}"), length)), ("mask", pa.list_(pa.bool_(), length))], {"length": str(length), "rows": str(rows)})
         self.doc_schema = pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.system.open_output_stream(path), self.system.open_output_stream(path + ".docs")]
         self.out, self.index = (ipc.new_stream(s, k) for s, k in zip(self.sinks, (self.schema, self.doc_schema), strict=True))
@@ -57,9 +58,8 @@ class Writer:
             self._list()
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
+        mask = np.arange(len(ids)) < real
+        self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids.astype(self.dtype), mask)], schema=self.schema))
 
     def _list(self) -> None:
         columns = list(zip(*self.docs, strict=True)) or [(), (), ()]
@@ -89,9 +89,11 @@ class Sequences:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        batch, k = self.batches[i // self.rows], i % self.rows
-        return tuple(c.values.to_numpy(zero_copy_only=True)[(c.offset + k) * self.length : (c.offset + k + 1) * self.length] for c in batch.columns)
+    def row(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of row i: views of the file's buffers."""
+        batch, at = self.batches[i // self.rows], i % self.rows * self.length
+        ids, mask = (c.values.slice(at, self.length) for c in batch.columns)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Ids start to start + n of the file's stream, as views of its batches."""
@@ -124,7 +126,9 @@ def write(docs: DataFrame, vocabulary: str, length: int = LENGTH, rows: int = RO
                     system, path = fs.FileSystem.from_uri(folder)
                     system.create_dir(path, recursive=True)
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.arrows"
-                    writer, encoder = Writer(name, batch.column(0).type, length, rows), Encoder(vocabulary)
+                    encoder = Encoder(vocabulary)
+                    bits = 16 if encoder.library.get_vocab_size() <= 1 << 16 else 32
+                    writer = Writer(name, batch.column(0).type, length, rows, bits)
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
                     writer.add(doc_id, ids + END)
                     n += 1
@@ -151,7 +155,7 @@ def read(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
                 for doc_id, start, n in seq.documents():
                     crc = 0
                     for part in seq.tokens(start, n):
-                        crc = zlib.crc32(part.astype("<u4", copy=False).data, crc)
+                        crc = zlib.crc32(part.astype("<u4").data, crc)
                     out.append((doc_id, first + start, n, crc))
                 for k in range(0, len(out), 10_000):
                     columns = list(zip(*out[k : k + 10_000], strict=True))
