@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, decontam, line_rules, packing, sharding, simhash
+from . import arrow_tokens, decontam, lang_gru, line_rules, packing, sharding, simhash, toxic_cnn
 from .token_ids import vocabulary
 
 
@@ -22,10 +22,18 @@ def op3_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read(arrow_tokens.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_cnn.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_gru.predicted(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -43,7 +51,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_label_propagation": op2_label_propagation,
     "op3_arrow_tokens": op3_arrow_tokens,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
