@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, decontam, lang_gru, line_rules, packing, sharding, simhash, toxic_cnn
+from . import arrow_tokens, chat, decontam, lang_gru, line_rules, packing, sharding, simhash, toxic_cnn
 from .token_ids import vocabulary
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_label_propagation": op2_label_propagation,
     "op3_arrow_tokens": op3_arrow_tokens,
     "op4_toxicity": op4_toxicity,
@@ -59,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_rules": line_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_line_rules": line_rules.SQL}

@@ -39,17 +39,21 @@ def features(word: str) -> list[int]:
 
 
 class Lexicon:
-    """Distinct words of a batch, numbered from 1, and texts as runs of numbers, each closed by zeros."""
+    """Distinct words of a batch, numbered from 1, and texts as runs of numbers, each closed by zeros.
+
+    bounds holds each text's start and the end of the positions where its windows may start; zeros beyond keep
+    the next text out of them.
+    """
 
     def __init__(self, texts: list[str | None]):
         number: dict[str, int] = {}
-        get, flat, self.starts, pad = number.setdefault, [], [], [0] * (max(WIDTHS) - 1)
+        get, flat, self.bounds, spare = number.setdefault, [], [], [0] * (max(WIDTHS) - 1)
         for t in texts:
-            self.starts.append(len(flat))
+            self.bounds.append(len(flat))
             flat += [get(w, len(number) + 1) for w in WORD.findall(t.lower())] if t else []
-            flat += pad
+            self.bounds.append(len(flat) + len(spare))
+            flat += spare + spare
         self.ids = np.array(flat + [0], np.int64)
-        self.starts.append(len(flat))
         self.words = list(number)
 
     def hashed(self) -> np.ndarray:
@@ -81,16 +85,16 @@ class Classifier:
 
     def logits(self, lex: Lexicon, hashed: np.ndarray) -> np.ndarray:
         maps = self._maps(lex.ids, self.w["vectors"][hashed].sum(1))
-        top = np.maximum.reduceat(maps, lex.starts[:-1], axis=0)
+        top = np.maximum.reduceat(maps, lex.bounds, axis=0)[::2]
         return np.maximum(top + self.w["bias"], 0) @ self.w["out"] + self.w["base"][0]
 
     def guess(self, lex: Lexicon, hashed: np.ndarray) -> list[str | None]:
         """The likeliest language of each text, by its words alone; None where no language was learnt."""
         if not self.languages:
-            return [None] * (len(lex.starts) - 1)
+            return [None] * (len(lex.bounds) // 2)
         known = self.profiles[hashed[:, 0]]
         known[0] = 0
-        total = np.add.reduceat(known[lex.ids], lex.starts[:-1], axis=0) + self.priors
+        total = np.add.reduceat(known[lex.ids], lex.bounds, axis=0)[::2] + self.priors
         return [self.languages[i] for i in total.argmax(1).tolist()]
 
     def predict(self, texts: list[str | None]) -> list[list]:
