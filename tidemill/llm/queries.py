@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, chat, decontam, lang_gru, line_rules, packing, sharding, simhash, toxic_cnn
+from . import arrow_tokens, chat, decontam, lang_gru, licenses, line_rules, packing, sharding, simhash, toxic_cnn
 from .token_ids import vocabulary
 
 
@@ -42,6 +42,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.selectExpr("doc_id", "array_join(licenses, ',') AS licenses", "n_candidates", "best_saving", "array_join(spans, ',') AS line_spans")
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
 }
