@@ -16,7 +16,9 @@ from tidemill.operators import stateful as R
 from tidemill.operators import telemetry as P
 from tidemill.operators import vector as V
 from tidemill.plans import dialect, jsonsql
+from tidemill.session import scratch_path
 from tidemill.sources import ingest
+from tidemill.streaming import continuous
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +58,36 @@ def r4(x, name: str):
     return F.round(x, 4).alias(name)
 
 
+# --- sources: the same points by way of a text format
+
+
+@query("SELECT user_id::VARCHAR AS host, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def line_protocol(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    line = F.concat(F.lit("ev,host="), F.col("user_id"), F.lit(",id="), F.col("event_id"), F.lit(" value="), F.col("value"), F.lit(",kind=\""), F.col("event_type"), F.lit("\" "), us.cast("string"), F.lit("000"))
+    points = ingest.line_protocol(read(spark, d, "events").select(line.alias("value")))
+    wide = ingest.wide(points, "ev", ["host", "id"], {"value": "double", "kind": "string"})
+    return wide.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT user_id::VARCHAR AS host, count(*) AS n FROM events GROUP BY 1")
+def json_points(spark, d):
+    payload = F.to_json(F.struct(F.lit("ev").alias("m"), F.lit("us").alias("precision"), F.array(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.create_map(F.lit("host"), F.col("user_id").cast("string")).alias("tags"), F.create_map(F.lit("value"), F.col("value").cast("string")).alias("fields"))).alias("points")))
+    points = ingest.json_points(read(spark, d, "events").select(payload.alias("value")))
+    return points.groupBy(F.try_element_at("tags", F.lit("host")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_totalprice / 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT coalesce(o_orderstatus = 'F', false)")
+def update_delete(spark, d):
+    o = ingest.delete(read(spark, d, "orders"), "o_orderstatus = 'F'")
+    return ingest.update(o, {"o_totalprice": "o_totalprice / 2"}, "o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def delete_cascade(spark, d):
+    return ingest.cascade(read(spark, d, "orders"), "o_custkey", read(spark, d, "customer").where("c_acctbal < 0"), "c_custkey").select("o_orderkey")
+
+
 # --- scans, projections, predicates
 
 
@@ -118,7 +150,7 @@ def join_left_residual(spark, d):
 @query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
 def join_theta(spark, d):
     n = read(spark, d, "nation")
-    return n.alias("a").join(F.broadcast(n.alias("b")), F.expr("a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+    return n.alias("a").join(n.alias("b"), F.expr("a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
 
 
 @query(f"WITH {EV} SELECT c_mktsegment, count(*) AS n, round(avg(value), 4) AS mean FROM ev JOIN customer ON CAST(user_id AS VARCHAR) = CAST(c_custkey AS VARCHAR) GROUP BY 1")
@@ -430,7 +462,7 @@ def near_match(spark, d):
     return T.near(read(spark, d, "documents"), "doc_id", "text", ["the", "of"], 3).select("doc_id", r4(F.col("bm25"), "bm25"))
 
 
-@query(r"SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) WHERE damerau_levenshtein(term, 'ereing') <= 2")
+@query(r"SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) WHERE damerau_levenshtein(regexp_replace(term, '[^a-z0-9]', '#', 'g'), 'ereing') <= 2")
 def fuzzy_match(spark, d):
     return T.fuzzy_terms(read(spark, d, "documents"), "text", "ereing")
 
@@ -478,6 +510,17 @@ def doc_update(spark, d):
 # --- table functions, platform, dialect
 
 
+@query(f"WITH {EV} SELECT user_id, max(CASE WHEN event_type = 'view' THEN value END) AS view, max(CASE WHEN event_type = 'click' THEN value END) AS click FROM ev GROUP BY user_id, time")
+def telemetry_pivot(spark, d):
+    e = events(spark, d).select(F.col("user_id").alias("device_id"), F.col("event_type").alias("key"), "time", "value")
+    return P.pivot(e, ["view", "click"]).select(F.col("device_id").alias("user_id"), "view", "click")
+
+
+@query(f"WITH {EV} SELECT event_id FROM ev WHERE time > 1706745600000 - 7 * 86400000")
+def retention(spark, d):
+    return P.retain(events(spark, d), "time", 7 * 86_400_000, 1_706_745_600_000).select("event_id")
+
+
 @query(f"""WITH {EV}, b AS (SELECT user_id, min(time) AS a, max(time) AS b, count(x) AS n FROM ev WHERE x IS NOT NULL GROUP BY 1),
 f AS (SELECT user_id, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, coalesce(regr_slope(x, (time - a) / 1000.0), 0) AS k, avg(x) AS my, avg((time - a) / 1000.0) AS mx FROM ev JOIN b USING (user_id) WHERE x IS NOT NULL GROUP BY 1)
 SELECT user_id, b + greatest(1, (b - a) // (n - 1)) * h AS time, round(my - k * mx + k * (b + greatest(1, (b - a) // (n - 1)) * h - a) / 1000.0, 3) AS value FROM f, (SELECT unnest(range(1, 4)) AS h) WHERE n >= 2""")
@@ -490,8 +533,8 @@ def forecast_hw(spark, d):
     return R.forecast_holt_winters(events(spark, d), ["user_id"], "time", "x", 3, 4)
 
 
-@query(f"""WITH {EV}, b AS (SELECT user_id AS device_id, event_type AS key, (time - 1704067200000) // 86400000 AS b, count(*) AS n, avg(value) AS m, min(time) AS t, min(value) AS only FROM ev WHERE time >= 1704067200000 AND time < 1705276800000 GROUP BY 1, 2, 3)
-SELECT device_id, key, CASE WHEN n = 1 THEN t ELSE 1704067200000 + (b + 1) * 86400000 END AS time, round(CASE WHEN n = 1 THEN only ELSE m END, 4) AS value FROM b""")
+@query(f"""WITH {EV}, b AS (SELECT user_id AS device_id, event_type AS key, (time - 1704067200000) // 86400000 AS b, count(*) AS n, avg(value) AS m, min(time) AS t, min(value) AS single FROM ev WHERE time >= 1704067200000 AND time < 1705276800000 GROUP BY 1, 2, 3)
+SELECT device_id, key, CASE WHEN n = 1 THEN t ELSE 1704067200000 + (b + 1) * 86400000 END AS time, round(CASE WHEN n = 1 THEN single ELSE m END, 4) AS value FROM b""")
 def telemetry_window(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("device_id"), F.col("event_type").alias("key"), "time", "value")
     return P.window(e, 1704067200000, 1705276800000, 86_400_000, "mean").select("device_id", "key", "time", r4(F.col("value"), "value"))
@@ -524,6 +567,17 @@ def json_side_sql(spark, d):
     return out.select("kind", F.col("n").cast("long").alias("n"), F.round(F.col("total").cast("double"), 2).alias("total"))
 
 
+@query("SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def streaming_tumbling(spark, d):
+    """The batch's buckets by way of a stream that takes what is there and ends."""
+    batch = read(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    path, check = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
+    source = spark.readStream.schema(read(spark, d, "events").schema).option("recursiveFileLookup", "true").parquet(f"{d}/events.parquet*")
+    made = continuous.tumbling(source.select(*[F.col(c).cast(t) for c, t in batch.dtypes]), "ts", "1 hour", "40 days", ["event_type"], n=F.count(F.lit(1)), total=F.round(F.sum("value"), 2))
+    continuous.run_available(made, lambda df, i: df.write.mode("overwrite").parquet(path), check, "complete")
+    return spark.read.parquet(path)
+
+
 def database(spark: SparkSession, d: str) -> dialect.Database:
     db = dialect.Database(spark)
     db.measurement("ev", events(spark, d), "time", ["user_id", "event_id", "event_type"], ["value", "x", "p"])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.scalar import let
+
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 CJK = "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF"
@@ -48,8 +50,8 @@ def index(df: DataFrame, key: str, field: str, tokenizer: str = "unicode") -> tu
 def _scored(matches: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
     """(key, unit, tf) with BM25 by unit; df is the number of keys that match a unit."""
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    dfs = matches.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))  # a row per query unit
-    rows = matches.join(F.broadcast(dfs), "unit").join(lengths, key).crossJoin(F.broadcast(stats))
+    dfs = matches.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    rows = matches.join(dfs, "unit").join(lengths, key).crossJoin(F.broadcast(stats))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.select(key, "unit", score.alias("score"))
@@ -77,8 +79,7 @@ def _starts(ts: Column, words: list[str]) -> Column:
 def phrase(df: DataFrame, key: str, field: str, words: list[str], tokenizer: str = "unicode") -> DataFrame:
     """(key, bm25) of the rows that hold the phrase; tf is the number of its starts."""
     rows = df.select(key, tokens(F.coalesce(F.col(field), F.lit("")), tokenizer).alias("ts"))
-    held = rows.where(reduce(lambda a, b: a & b, [F.array_contains("ts", w) for w in sorted(set(words))]))
-    hits = held.select(key, F.lit(" ".join(words)).alias("unit"), _starts(F.col("ts"), words).alias("tf")).where("tf > 0")
+    hits = rows.select(key, F.lit(" ".join(words)).alias("unit"), let(F.col("ts"), lambda ts: _starts(ts, words)).alias("tf")).where("tf > 0")
     return _scored(hits, rows.select(key, F.size("ts").alias("dl")), key).select(key, F.col("score").alias("bm25"))
 
 
@@ -89,27 +90,28 @@ def near(df: DataFrame, key: str, field: str, words: list[str], distance: int, o
     Else each other word is taken where it is nearest, and all must span no more than distance.
     """
     rows = df.select(key, tokens(F.coalesce(F.col(field), F.lit("")), tokenizer).alias("ts"))
-    places = [F.filter(F.transform("ts", _place(w)), lambda p: p.isNotNull()).alias(f"p{i}") for i, w in enumerate(words)]
-    own = rows.where(reduce(lambda a, b: a & b, [F.array_contains("ts", w) for w in sorted(set(words))])).select(key, *places)
-    if ordered:
-
-        def fits(anchor: Column) -> Column:
-            at = anchor
-            for i in range(1, len(words)):
-                at = F.array_min(F.filter(f"p{i}", _above(at)))
-            return F.coalesce((at - anchor) <= distance, F.lit(False))
-    else:
 
-        def fits(anchor: Column) -> Column:
-            nearest = [F.array_min(F.transform(f"p{i}", _gap(anchor)))["p"] for i in range(1, len(words))]
-            every = F.array(anchor, *nearest)
-            close = reduce(lambda a, b: a & b, [F.abs(p - anchor) <= distance for p in nearest], F.lit(True))
-            return close & ((F.array_max(every) - F.array_min(every)) <= distance)
+    def count(ts: Column) -> Column:
+        places = F.array(*[F.filter(F.transform(ts, _place(w)), lambda p: p.isNotNull()) for w in words])
+        return let(places, lambda p: F.size(F.filter(p[0], lambda anchor: _close(p, anchor, len(words), distance, ordered))))
 
-    hits = own.select(key, F.lit("near").alias("unit"), F.size(F.filter("p0", fits)).alias("tf")).where("tf > 0")
+    hits = rows.select(key, F.lit("near").alias("unit"), let(F.col("ts"), count).alias("tf")).where("tf > 0")
     return _scored(hits, rows.select(key, F.size("ts").alias("dl")), key).select(key, F.col("score").alias("bm25"))
 
 
+def _close(places: Column, anchor: Column, n: int, distance: int, ordered: bool) -> Column:
+    """Whether the words at the places stand near the anchor, the first one's position."""
+    if ordered:
+        at = anchor
+        for i in range(1, n):
+            at = F.array_min(F.filter(places[i], _above(at)))
+        return F.coalesce((at - anchor) <= distance, F.lit(False))
+    nearest = [F.array_min(F.transform(places[i], _gap(anchor)))["p"] for i in range(1, n)]
+    every = F.array(anchor, *nearest)
+    close = reduce(lambda a, b: a & b, [F.coalesce(F.abs(p - anchor) <= distance, F.lit(False)) for p in nearest], F.lit(True))
+    return close & ((F.array_max(every) - F.array_min(every)) <= distance)
+
+
 def _place(word: str):
     return lambda x, i: F.when(x == word, i)
 

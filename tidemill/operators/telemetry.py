@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AGGREGATES = ("none", "mean", "median", "last", "first", "max", "min", "sum")
@@ -39,10 +39,13 @@ def window(df: DataFrame, begin: int, end: int, every: int, aggregate: str, whol
         return rows.select("device_id", "key", "time", "value")
     b = F.floor((F.col("time") - begin) / every)
     v = F.col("value").cast("double")
-    ordered = F.sort_array(F.collect_list(v))
+    if aggregate == "median":  # by rank: a bucket of any size streams through a sort
+        rows = rows.withColumn("__b", b)
+        own = Window.partitionBy("device_id", "key", "__b")
+        rows = rows.withColumn("__k", F.row_number().over(own.orderBy(v))).withColumn("__n", F.count(v).over(own))
     made = {
         "mean": F.avg(v), "sum": F.sum(v), "max": F.max(v), "min": F.min(v),
-        "first": F.min_by(v, "time"), "last": F.max_by(v, "time"), "median": F.element_at(ordered, (F.floor(F.count(v) / 2) + 1).cast("int")),
+        "first": F.min_by(v, "time"), "last": F.max_by(v, "time"), "median": F.max(F.when(F.expr("__k = floor(__n / 2) + 1"), v)) if aggregate == "median" else None,
     }[aggregate]
     if whole and aggregate == "mean":
         made = F.when(made < 0, F.ceil(made)).otherwise(F.floor(made)).cast("double")
