@@ -24,7 +24,7 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-@pytest.mark.parametrize("keep", [3, 250_000])
+@pytest.mark.parametrize("keep", [3, 400_000])
 def test_encoder_matches_the_library(path, keep):
     rng = random.Random(1)
     letters = "ab'sT re.,;:!?%#1٣é́Σς   \x1c\x1f\x85 \n\t\r  中ß’İ|~"

@@ -11,6 +11,9 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 #: The Unicode property White_Space, which is \\s of the vocabularies' patterns (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKS = ".,;:!?"
@@ -36,7 +39,7 @@ def _letters() -> dict[int, str]:
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; a null text is empty."""
 
-    def __init__(self, path: str, keep: int = 250_000, long: int = 64):
+    def __init__(self, path: str, keep: int = 400_000, long: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,7 +56,8 @@ class Encoder:
         for p in pieces:
             if WORD(p):
                 w = p.lower().lstrip(" ") if self.lower else p
-                found[p] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
+                w = w.replace(" ", letters[32]) if w.isascii() else w.encode().decode("latin-1").translate(letters)
+                found[p] = array("I", [t.id for t in tokenize(w)]).tobytes()
             else:
                 rest.append(p)
         for i in range(0, len(rest), 1024):
@@ -61,7 +65,7 @@ class Encoder:
                 found[p] = array("I", e.ids).tobytes()
         return found
 
-    def encode(self, texts: list[str | None], chars: int = 1 << 20) -> list[bytes]:
+    def encode(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
         out, some, size = [], [], 0
         for text in texts:
             some.append(text or "")
@@ -72,20 +76,31 @@ class Encoder:
         return out + self._encode(some)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        parts = [PIECE.findall(t) for t in texts]
-        seen = set().union(*parts)
-        missing = seen.difference(self.now)
-        table = self.now
-        if missing:
-            if len(self.now) + len(missing) > self.keep:
-                self.old, self.now = self.now, {}
-                table, missing = self.now, seen
-            if len(missing) > self.keep:
-                table = {}  # more words than are ever kept
-            table.update([(p, self.old[p]) for p in missing if p in self.old])
-            table.update(self._ids([p for p in missing if p not in table]))
-        out = [b"".join(map(table.__getitem__, p)) for p in parts]
-        for p in missing:
-            if len(p) > self.long:
-                table.pop(p, None)
-        return out
+        """Pieces are numbered, looked up once each, and their ids put together by number, in Arrow."""
+        flat, ends = [], [0]
+        for t in texts:
+            flat += PIECE.findall(t)
+            ends.append(len(flat))
+        numbered = pa.array(flat, pa.large_string()).dictionary_encode()
+        values = self._values(numbered.dictionary.to_pylist())
+        at = np.cumsum([0, *map(len, values)], dtype=np.int64) // 4
+        ids = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(values), "<u4"))).take(numbered.indices)
+        tokens, cuts = ids.flatten().to_numpy(), ids.offsets.to_numpy()[ends]
+        cuts = cuts - cuts[0]
+        return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.now.get, pieces))
+        missing = [p for p, v in zip(pieces, found, strict=True) if v is None]
+        if not missing:
+            return found
+        if len(self.now) + len(missing) > self.keep:
+            self.old, self.now = self.now, {}
+        made = {p: self.old[p] for p in missing if p in self.old}
+        made.update(self._ids([p for p in missing if p not in made]))
+        if len(made) <= self.keep:  # else more words than are ever kept
+            self.now.update(made)
+            for p in [p for p in made if len(p) > self.long]:
+                del self.now[p]
+        return [made[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
