@@ -172,3 +172,16 @@ def _joined(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in columns], *[pa.array(v, k) for v, k in zip(extra, kinds, strict=True)]], names=[*columns, *[n for n, _ in FIELDS]])
 
     return joined.mapInArrow(finish, T.StructType([*[docs.schema[c] for c in columns], *[T.StructField(n, t) for n, t in FIELDS]]))
+
+
+#: The same answer in DuckDB.
+SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+s AS (SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n)),
+h AS (SELECT k, i, n, item FROM s JOIN g USING (n, w)),
+c AS (SELECT k, count(DISTINCT p) AS hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM h) GROUP BY k),
+t AS (SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)"""

@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_line_rules": line_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.SQL, "op9_line_rules": line_rules.SQL, "op10_decontaminate": decontam.SQL}
