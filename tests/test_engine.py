@@ -178,6 +178,32 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()}
 
 
+def test_key_values(spark):
+    from tidemill.operators import kv
+
+    space = spark.createDataFrame([("a", "1", 3, None), ("ab", "x", 1, 50), ("b", "y", 1, None)], kv.SCHEMA)
+    rows = lambda df: {r.key: (r.value, r.version) for r in df.collect()}
+    new = kv.put(space, spark.createDataFrame([("a", "2", None), ("ab", "z", None), ("c", "q", 900)], "key string, value string, expires_at bigint"), 100)
+    assert rows(new) == {"a": ("2", 4), "ab": ("z", 1), "b": ("y", 1), "c": ("q", 1)}
+    assert [r.key for r in kv.scan_prefix(space, "a", 10).collect()] == ["a", "ab"] and [r.key for r in kv.scan_prefix(space, "a", 60).collect()] == ["a"]
+    done, verdict = kv.compare_and_set(space, spark.createDataFrame([("a", "9", 3), ("b", "9", 7), ("n", "9", 0)], "key string, value string, version bigint"), 10)
+    assert {r.key: r.done for r in verdict.collect()} == {"a": True, "b": False, "n": True} and rows(done)["a"] == ("9", 4)
+    assert rows(kv.increment(space, spark.createDataFrame([("a", 4), ("a", 1), ("m", 2)], "key string, by bigint"), 10))["a"] == ("6", 4)
+    assert sorted(rows(kv.remove(space, space.where("key = 'a'")))) == ["ab", "b"]
+
+
+def test_hybrid_over_measurements_and_catalog(spark):
+    near = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "host string, distance double")
+    docs = spark.createDataFrame([("1", '{"host": "a"}'), ("2", '{"host": "b"}')], "id string, document string")
+    text = spark.createDataFrame([("2", 4.0)], "id string, bm25 double")
+    out = V.hybrid_measurement(near, docs, F.col("host") == F.get_json_object("document", "$.host"), text)
+    assert {r.id: round(r.hybrid_score, 6) for r in out.collect()} == {"1": 0.6, "2": 0.6}
+    db = dialect.Database(spark)
+    db.table("docs", docs)
+    assert [tuple(r) for r in db.sql("SELECT table_name, table_type FROM information_schema.tables").collect()] == [("docs", "TABLE")]
+    assert db.sql("SELECT * FROM information_schema.columns WHERE column_name = 'id'").first().data_type == "string"
+
+
 def test_topic(tmp_path):
     t = C.Topic(str(tmp_path / "q"))
     assert [t.publish(["a", "b"], 1000), t.publish(["c"], 5000)] == [0, 2]

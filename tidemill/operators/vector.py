@@ -36,6 +36,22 @@ def hybrid(text_scores: DataFrame, vector_scores: DataFrame, key: str, text_weig
     return both.select(key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), score.alias("hybrid_score"))
 
 
+def hybrid_measurement(near: DataFrame, docs: DataFrame, on, text_scores: DataFrame, doc_vectors: DataFrame | None = None, weights: tuple[float, float, float] = (0.6, 0.3, 0.1), metric: str = "cosine") -> DataFrame:
+    """Measurement rows with a distance, joined to documents (id) by a condition, and their hybrid_score.
+
+    Parts: the measurement's score, text by its maximum, and the document's own vector_score; an absent one is 0.
+    """
+    most = text_scores.agg(F.max("bm25").alias("__most"))  # one row
+    text = text_scores.crossJoin(F.broadcast(most)).select(F.col("id").alias("__tid"), F.coalesce(F.try_divide("bm25", "__most"), F.lit(0.0)).alias("text_score"))
+    both = near.withColumn("measurement_score", distance_score(F.col("distance"), metric)).join(docs, on).join(text, F.col("id") == F.col("__tid"), "left").drop("__tid")
+    if doc_vectors is not None:
+        both = both.join(doc_vectors.select(F.col("id").alias("__vid"), "vector_score"), F.col("id") == F.col("__vid"), "left").drop("__vid")
+    else:
+        both = both.withColumn("vector_score", F.lit(0.0))
+    parts = [F.coalesce(c, F.lit(0.0)) for c in ("measurement_score", "text_score", "vector_score")]
+    return both.withColumn("hybrid_score", sum((w * p for w, p in zip(weights[1:], parts[1:], strict=True)), weights[0] * parts[0]))
+
+
 class IvfIndex:
     """Rows written by their nearest of lists centroids; a search reads the nearest probes lists only.
 

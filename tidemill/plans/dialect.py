@@ -90,13 +90,16 @@ class Database:
         raise DialectError(f"unknown statement: {verb}")
 
     def _describe(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame(self._columns(name), "column_name string, role string, data_type string")
+
+    def _columns(self, name: str) -> list[tuple[str, str, str]]:
         if m := self.measurements.get(name):
             rows = [(m.time, "time", dict(m.df.dtypes)[m.time])] + [(c, k, dict(m.df.dtypes)[c]) for k, cs in (("tag", m.tags), ("field", m.fields)) for c in cs]
         elif (t := self.tables.get(name)) is not None:
             rows = [(c, "column", k) for c, k in t.dtypes]
         else:
             raise DialectError(f"unknown name: {name}")
-        return self.spark.createDataFrame(rows, "column_name string, role string, data_type string")
+        return rows
 
     def _insert(self, text: str) -> DataFrame:
         name = text.split()[2].strip('"`').split("(")[0].lower()
@@ -142,8 +145,20 @@ class Database:
 
     # SELECT
 
+    def information_schema(self, name: str) -> DataFrame:
+        """tables or columns of the catalog."""
+        if name == "tables":
+            rows = [(n, "MEASUREMENT") for n in self.measurements] + [(n, "TABLE") for n in self.tables]
+            return self.spark.createDataFrame(sorted(rows), "table_name string, table_type string")
+        if name != "columns":
+            raise DialectError(f"unknown: information_schema.{name}")
+        rows = [(n, i + 1, *r) for n in sorted({*self.measurements, *self.tables}) for i, r in enumerate(self._columns(n))]
+        return self.spark.createDataFrame(rows, "table_name string, ordinal_position int, column_name string, column_role string, data_type string")
+
     def _select(self, s: Select, params: dict) -> DataFrame:
         src = s.source
+        if src is not None and (src.table or "").lower().startswith("information_schema."):
+            return self._shape(self.information_schema(src.table.lower().split(".")[1]), s, params)
         if src is not None and src.call is not None:
             return self._shape(self._table_function(src.call, params), s, params)
         m = self.measurements.get((src.table or "").lower()) if src is not None else None
