@@ -7,6 +7,7 @@ by the library once and kept in a cache of two generations, whose size doesn't f
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -66,14 +67,19 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
-        out, some, size = [], [], 0
-        for text in texts:
-            some.append(text or "")
-            size += len(some[-1])
-            if size >= chars:
-                out += self._encode(some)
-                some, size = [], 0
-        return out + self._encode(some)
+        out, some, size, collecting = [], [], 0, gc.isenabled()
+        gc.disable()  # millions of short-lived strings and no cycles: collections would only walk through them
+        try:
+            for text in texts:
+                some.append(text or "")
+                size += len(some[-1])
+                if size >= chars:
+                    out += self._encode(some)
+                    some, size = [], 0
+            return out + self._encode(some)
+        finally:
+            if collecting:
+                gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Pieces are numbered, looked up once each, and their ids put together by number, in Arrow."""
