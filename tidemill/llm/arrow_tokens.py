@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import token_ids
 from .shared import by_bytes, fresh_path, staged
-from .token_ids import Encoder
 
 #: Ids in a row; rows in a batch.
 LENGTH, ROWS = 2048, 256
@@ -126,7 +126,7 @@ def write(docs: DataFrame, vocabulary: str, length: int = LENGTH, rows: int = RO
                     system, path = fs.FileSystem.from_uri(folder)
                     system.create_dir(path, recursive=True)
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.arrows"
-                    encoder = Encoder(vocabulary)
+                    encoder = token_ids.encoder(vocabulary)
                     bits = 16 if encoder.library.get_vocab_size() <= 1 << 16 else 32
                     writer = Writer(name, batch.column(0).type, length, rows, bits)
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):

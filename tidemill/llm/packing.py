@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import token_ids
 from .shared import by_bytes, staged
-from .token_ids import Encoder
 
 CAPACITY = 2048
 END = b"\x00\x00\x00\x00"
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
-        encoder = Encoder(vocabulary)
+        encoder = token_ids.encoder(vocabulary)
         for batch in batches:
             for part in by_bytes(batch, 1):
                 at, rows = [], []

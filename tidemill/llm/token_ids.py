@@ -110,3 +110,13 @@ class Encoder:
             for p in [p for p in made if len(p) > self.long]:
                 del self.now[p]
         return [made[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+
+
+_OWN: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder: a worker keeps its cache from one task to the next."""
+    if path not in _OWN:
+        _OWN[path] = Encoder(path)
+    return _OWN[path]
