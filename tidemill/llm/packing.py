@@ -15,14 +15,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import token_ids
-from .shared import by_bytes, staged
+from .shared import staged
 
 CAPACITY = 2048
-END = b"\x00\x00\x00\x00"
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -169,56 +169,60 @@ class Places:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and the ids as bytes) of each piece of each row of docs."""
+    """doc_id, piece, start, length, ids_crc32 (and the ids as bytes) of each piece of each row of docs, and deal,
+    a number of its own."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "deal"]
 
     def run(batches):
-        encoder = token_ids.encoder(vocabulary)
+        encoder, dealt = token_ids.encoder(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in by_bytes(batch, 1):
-                at, rows = [], []
-                for i, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    whole = ids + END
-                    for k in range(0, len(whole), 4 * capacity):
-                        cut = whole[k : k + 4 * capacity]
-                        at.append(i)
-                        rows.append((k // (4 * capacity), k // 4, len(cut) // 4, zlib.crc32(cut), *[cut] * with_ids))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.binary()) for c in columns[4:]]], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece bigint, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+            for first, bounds, ids in encoder.encode(batch.column(1)):
+                sizes = np.diff(bounds)
+                n = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                length = np.minimum(capacity, sizes[doc] - piece * capacity)
+                raw, at = memoryview(ids.view(np.uint8)), 4 * (bounds[doc] + piece * capacity)
+                cuts = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                found = [batch.column(0).take(pa.array(first + doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), pa.array(list(map(zlib.crc32, cuts)), pa.int64())]
+                found += [pa.array([bytes(c) for c in cuts], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays([*found, pa.array(np.arange(dealt, dealt + len(doc)))], names=names)
+                dealt += len(doc)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", deal bigint")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (as by pieces(), written) with sequence_id and offset.
 
     Ranks among pieces of a length are counted by bucket first, so that a length that many pieces share is dealt
-    to many tasks. Like rows are interchangeable: each gets a place of its own.
+    to many tasks, also where rows repeat. Like rows are interchangeable: each gets a place of its own.
     """
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     sent = cut.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))  # at most some tens of capacity entries
     buckets = max(64, sum(counts.values()) // 50_000)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     first = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = dealt.join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + within - 1).select(*cut.columns, "rank")
-    at = cut.columns.index("length")
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("deal"))
+    ranked = dealt.join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + within - 1).select(*[c for c in cut.columns if c != "deal"], "rank")
+    at = ranked.columns.index("length")
 
     def run(batches):
         for batch in batches:
             where = sent.value.of(batch.column(at).to_numpy(), batch.column(batch.num_columns - 1).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x) for x in where]], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id bigint, offset bigint"
+    schema = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes[:-1]) + ", sequence_id bigint, offset bigint"
     return ranked.mapInArrow(run, schema)
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) cut and packed: one row per piece. Null and empty texts are one piece, the end id;
-    repeated rows are packed each; without rows: no rows."""
+    repeated rows are packed each; a text of any length is cut whole; other columns of docs don't matter, whatever
+    their names; without rows: no rows."""
     return pack(staged(pieces(docs, vocabulary, capacity), "pieces"), capacity)
 
 

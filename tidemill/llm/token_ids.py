@@ -1,8 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, word by word through a bounded cache.
+"""Token ids of whole texts by the tokenizers library, piece by piece through a bounded cache.
 
 Both vocabularies split a text before each run of white space that follows other characters, so the ids of a
-text are those of its pieces "white space, then a word", in order. Words repeat; each distinct piece is encoded
-by the library once and kept in a cache of two generations, whose size doesn't follow the input.
+text are those of its pieces "white space, then a word", in order. Cuts are found in the Arrow buffer's bytes and
+pieces numbered there; each distinct piece is encoded by the library once and kept in a cache of two generations,
+whose size doesn't follow the input.
 """
 
 from __future__ import annotations
@@ -11,17 +12,20 @@ import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: The Unicode property White_Space, which is \\s of the vocabularies' patterns (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MARKS = ".,;:!?"
-#: Pieces: a word up to a mark that ends it, a line end before a word, else white space and what follows up to white space.
-PIECE = re.compile(rf"[{SPACE}]*+[^{SPACE}{MARKS}]++(?<=[^\W\d_\u0130])(?=[{MARKS}](?:[{SPACE}]|\Z))|\n(?=[^{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: The Unicode property White_Space, which is \\s of the vocabularies' patterns (fixed values): in ASCII, and beyond it.
+SPACE = "\t\n\x0b\x0c\r "
+WIDE_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Marks that never belong to a letter before them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of letters that normal forms leave alone and that have a lower case of one letter: no pattern parts them.
-WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+").fullmatch
+WORD = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]+").fullmatch
+#: Bytes of text that are encoded at once, a longer text in one.
+CHUNK = 8 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -37,63 +41,88 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _marked(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_SPACE, _MARK, _LETTER, _LEAD = _marked(SPACE), _marked(MARKS), _marked("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), np.zeros(256, bool)
+_LEAD[[c.encode()[0] for c in WIDE_SPACE]] = True
+_WIDE = {c.encode() for c in WIDE_SPACE}
+
+
+def starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin; data holds their bytes, text i those from bounds[i] to bounds[i + 1].
+
+    Cuts: before each run of white space, between a lone line end and the word after it, between a letter and a mark.
+    """
+    n = len(data)
+    space = _SPACE[data]
+    for i in np.flatnonzero(_LEAD[data]).tolist() if _LEAD[data].any() else ():
+        for size in (2, 3):
+            if data[i : i + size].tobytes() in _WIDE:
+                space[i : i + size] = True
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    line = np.flatnonzero(cut & (data == 10)) + 1
+    line = line[line < n]
+    cut[line[~space[line]]] = True
+    mark = np.flatnonzero(_MARK[data])
+    mark = mark[mark > 0]
+    one = _LETTER[data[mark - 1]]
+    two = (data[mark - 2] == 0xC3) & (data[mark - 1] >= 0x80) & (data[mark - 1] != 0x97) & (data[mark - 1] != 0xB7) & (mark > 1)
+    cut[mark[one | two]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; a null text is empty."""
+    """encode(texts) gives the ids of Arrow strings, each text's closed by the end id 0; a null text is empty.
 
-    def __init__(self, path: str, keep: int = 400_000, long: int = 64):
+    Names of special tokens in a text are ordinary text, as the vocabularies' own description sets the library up.
+    """
+
+    def __init__(self, path: str, keep: int = 200_000, long: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        self.library.encode_special_tokens = True
         self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A b") == "a b"
         self.keep, self.long, self.letters = keep, long, _letters()
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
-        """Of each piece: a word by the library's model at once, another through its whole chain."""
-        tokenize, letters, found, rest = self.library.model.tokenize, self.letters, {}, []
-        for p in pieces:
-            if WORD(p):
-                w = p.lower().lstrip(" ") if self.lower else p
-                w = w.replace(" ", letters[32]) if w.isascii() else w.encode().decode("latin-1").translate(letters)
-                found[p] = array("I", [t.id for t in tokenize(w)]).tobytes()
-            else:
-                rest.append(p)
-        for i in range(0, len(rest), 1024):
-            for p, e in zip(rest[i : i + 1024], self.library.encode_batch_fast(rest[i : i + 1024], add_special_tokens=False), strict=True):
-                found[p] = array("I", e.ids).tobytes()
-        return found
-
-    def encode(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
-        out, some, size, collecting = [], [], 0, gc.isenabled()
-        gc.disable()  # millions of short-lived strings and no cycles: collections would only walk through them
-        try:
-            for text in texts:
-                some.append(text or "")
-                size += len(some[-1])
-                if size >= chars:
-                    out += self._encode(some)
-                    some, size = [], 0
-            return out + self._encode(some)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Pieces are numbered, looked up once each, and their ids put together by number, in Arrow."""
-        flat, ends = [], [0]
-        for t in texts:
-            flat += PIECE.findall(t)
-            ends.append(len(flat))
-        numbered = pa.array(flat, pa.large_string()).dictionary_encode()
-        values = self._values(numbered.dictionary.to_pylist())
+    def encode(self, texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first, bounds, ids) for runs of texts: text first + i has the ids from bounds[i] to bounds[i + 1]."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        first, collecting = 0, gc.isenabled()
+        while first < len(texts):
+            end = max(first + 1, int(np.searchsorted(at, at[first] + chunk, side="right")) - 1)
+            gc.disable()  # many short-lived strings and no cycles: collections would only walk through them
+            try:
+                made = self._encode(data[at[first] : at[end]], at[first : end + 1] - at[first])
+            finally:
+                if collecting:
+                    gc.enable()
+            yield first, *made
+            first = end
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces are numbered, looked up once each, and their ids put together by number; an empty piece ends each text."""
+        begin = starts(data, bounds)
+        ends = np.searchsorted(begin, bounds[1:]) + np.arange(1, len(bounds))
+        offsets = np.sort(np.concatenate((begin, bounds[1:], bounds[-1:])), kind="stable").astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        numbered = pieces.dictionary_encode()
+        values = self._values(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = np.cumsum([0, *map(len, values)], dtype=np.int64) // 4
         ids = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(values), "<u4"))).take(numbered.indices)
-        tokens, cuts = ids.flatten().to_numpy(), ids.offsets.to_numpy()[ends]
-        cuts = cuts - cuts[0]
-        return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        place = ids.offsets.to_numpy()
+        return np.concatenate(([0], place[ends] - place[0])), ids.flatten().to_numpy()
 
     def _values(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
@@ -104,13 +133,31 @@ class Encoder:
         if len(self.now) + len(missing) > self.keep:
             self.old, self.now = self.now, {}
         made = {p: self.old[p] for p in missing if p in self.old}
-        made.update(self._ids([p for p in missing if p not in made]))
-        if len(made) <= self.keep:  # else more words than are ever kept
-            self.now.update(made)
+        made |= self._ids([p for p in missing if p not in made])
+        if len(made) <= self.keep:  # else more pieces than are ever kept
+            self.now |= made
             for p in [p for p in made if len(p) > self.long]:
                 del self.now[p]
         return [made[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
 
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """Of each piece: a word by the library's model at once, another through its whole chain, the empty one the end id."""
+        tokenize, letters, found, rest = self.library.model.tokenize, self.letters, {}, []
+        lower, space = self.lower, self.letters[32]
+        for p in pieces:
+            if not WORD(p):
+                rest.append(p)
+                continue
+            w = p.lower().lstrip(" ") if lower else p
+            w = w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            found[p] = array("I", [t.id for t in tokenize(w)]).tobytes()
+        for i in range(0, len(rest), 1024):
+            for p, e in zip(rest[i : i + 1024], self.library.encode_batch_fast(rest[i : i + 1024], add_special_tokens=False), strict=True):
+                found[p] = array("I", e.ids).tobytes()
+        if "" in found:
+            found[""] = b"\x00\x00\x00\x00"
+        return found
+
 
 _OWN: dict[str, Encoder] = {}
 
