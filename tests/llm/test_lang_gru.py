@@ -25,6 +25,54 @@ def test_gradients_match_differences():
         assert abs((loss[0] - loss[1]) / 2 / e - g[k][i]) < 1e-4, k
 
 
+def test_probabilities_match_brute_force():
+    """Position by position, one window at a time."""
+    net = lang_gru.Network(["a", "b", "c"], seed=4)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(x, d):
+        n = lang_gru.STATES
+        h, out = np.zeros(n), {}
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            a = net.w["vectors"][x[t]] @ net.w[d + "in"] + net.w[d + "bias"]
+            r = h @ net.w[d + "rec"]
+            update, reset = sig(a[:n] + r[:n]), sig(a[n : 2 * n] + r[n : 2 * n])
+            h = update * h + (1 - update) * np.tanh(a[2 * n :] + reset * r[2 * n :])
+            out[t] = h
+        return out
+
+    texts = ["a", "Two words", "é" * 50, "x y " * 90]
+    for text, lang, score in zip(texts, *net.predict(texts), strict=True):
+        total, count = np.zeros(3), 0
+        for w in lang_gru.windows(text):
+            f, b = states(w, "f"), states(w, "b")
+            for t in range(len(w)):
+                if w[t]:
+                    z = np.concatenate([f[t], b[t]]) @ net.w["out"] + net.w["bias"]
+                    total += z - np.log(np.exp(z).sum())
+                    count += 1
+        p = np.exp(total / count * min(8, count))
+        p /= p.sum()
+        assert lang == net.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_every_language_is_learnt_whatever_repeats(spark):
+    french = "le chien et la maison sont dans la grande rue de la ville"
+    english = [f"the river {a} ran to the {b} and the men were there" for a in range(50) for b in "abcdefghij"]
+    rows = [(i, french, "fr") for i in range(2000)] + [(2000 + i, t, "en") for i, t in enumerate(english * 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {y for _, y in lang_gru.sample(docs)} == {"en", "fr"}
+    got = lang_gru.predicted(docs)
+    wrong = got.join(docs.select("doc_id", "lang"), "doc_id").where("lang <> lang_pred").count()
+    assert wrong < 0.01 * len(rows)
+
+
+def test_windows_come_from_whole_texts(spark):
+    docs = spark.createDataFrame([("a" * 64 * 500 + "b" * 64 * 500, "x")], "text string, lang string")
+    raw = lang_gru.sample(docs, per_row=200)[0][0]
+    assert 30 < raw.count(b"b" * 64) < 170
+
+
 def test_held_out_accuracy(spark):
     rows = op6_language(spark, SF).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -2,15 +2,14 @@
 
 The network reads windows of bytes in both directions, labels every position, and pools the positions'
 log-probabilities over the whole document. It is trained in numpy on the driver by backpropagation through time,
-from a bounded sample of labelled rows; scoring runs in Arrow batches over all windows of every text, in parallel.
+from windows of a bounded number of labelled texts of each language; scoring runs in Arrow batches over all windows of every text, in parallel.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +17,8 @@ from .shared import append_columns
 
 #: Bytes in a window; states of each direction; size of a byte's vector.
 WINDOW, STATES, VECTOR = 64, 8, 8
-#: Rows of a language that the sample takes, and windows of a row; passes over the sample.
-SAMPLE_ROWS, SAMPLE_WINDOWS, EPOCHS = 400, 4, 8
+#: Distinct texts of a language that the sample takes, and windows of a text; passes over the sample and steps at least.
+SAMPLE_ROWS, SAMPLE_WINDOWS, EPOCHS, STEPS = 400, 4, 8, 150
 #: Windows scored at once.
 BATCH = 2048
 
@@ -117,7 +116,8 @@ class Network:
         rng = np.random.default_rng(seed)
         m, v, step = ({k: np.zeros_like(w) for k, w in self.w.items()} for _ in range(2)), None, 0
         m, v = m
-        for _ in range(epochs):
+        passes = max(epochs, -(-STEPS // -(-len(x) // batch)))
+        for _ in range(passes):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 some, step = order[i : i + batch], step + 1
@@ -128,7 +128,7 @@ class Network:
                     m[k] += 0.1 * (q - m[k])
                     v[k] += 0.01 * (q * q - v[k])
                     self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-            rate *= 0.8
+            rate *= 0.8 ** (epochs / passes)
         return self
 
     def predict(self, texts: list[str | None]) -> list[list]:
@@ -173,47 +173,63 @@ class Network:
         return [[self.languages[b] if h else "und" for b, h in zip(best.tolist(), has, strict=True)], [float(p[i, b]) if h else 0.0 for i, (b, h) in enumerate(zip(best.tolist(), has, strict=True))]]
 
 
-def sample(docs: DataFrame, label: str, per: int) -> list[tuple]:
-    """About per rows (text, label) of each label, at most twice that: those of the lowest hashes of their texts."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # a row per label
+def sample(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, per_row: int = SAMPLE_WINDOWS, size: int = WINDOW) -> list[tuple]:
+    """(windows as bytes, label): of each label, per_row windows from all over each of about rows distinct texts.
+
+    The texts are those of the lowest hashes, chosen for each label by itself and after repeats are gone, so that
+    neither copies nor another label's rows take a label's place. Only windows come to the driver.
+    """
+    labelled = docs.where(F.col(label).isNotNull() & (F.octet_length("text") > 0)).select("text", F.col(label).cast("string").alias("y"))
+    h = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40)).alias("h")
+    counts = {r[0]: r[1] for r in labelled.select("y", h).groupBy("y").agg(F.approx_count_distinct("h", 0.02)).collect()}  # a row per label
     if not counts:
         return []
-    h = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40))
-    bound = F.lit(1 << 40)
-    most = F.element_at(F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(1.0, per / c)))]), F.col(label))
-    chosen = labelled.where(h < bound * most).select("text", F.col(label).alias("y"), h.alias("h"))
-    rows = chosen.select(F.expr("substr(text, 1, 20000)").alias("text"), "y", "h").orderBy("h", "y").limit(2 * per * len(counts)).collect()
-    return [(r["text"], r["y"]) for r in rows]
+    most = F.element_at(F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * rows / max(1, c))))]), F.col("y"))
+    low = labelled.select("y", h).where(F.col("h") < F.lit(1 << 40) * most).distinct()
+    chosen = low.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("k") <= rows).select("y", "h")
+    found = labelled.withColumn("h", h).where(F.col("h") < F.lit(1 << 40) * most).join(F.broadcast(chosen), ["y", "h"])  # rows of each label at most
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for text, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = windows(text, size)
+                pick = np.random.default_rng(n).permutation(len(w))[:per_row]
+                out.append((y, n, w[np.sort(pick)].tobytes()))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["y", "h", "w"])
+
+    got = found.select("text", "y", "h").mapInArrow(cut, "y string, h bigint, w binary").distinct().orderBy("y", "h", "w").collect()
+    return [(r["w"], r["y"]) for r in got]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, per_row: int = SAMPLE_WINDOWS, epochs: int = EPOCHS) -> Network:
-    """A network fitted to docs (text, lang): about rows texts of each language, per_row windows of each."""
-    found = sample(docs, "lang", rows)
-    languages = sorted({y for _, y in found})
-    x, y = [], []
-    for text, lang in found:
-        w = windows(text)
-        if len(w):
-            pick = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).permutation(len(w))[:per_row]
-            x.append(w[pick])
-            y += [languages.index(lang)] * len(pick)
-    if not x:
+    """A network fitted to docs (text, lang): about rows distinct texts of each language, per_row windows of each.
+    A language with fewer windows than another has its own repeated, so that each is learnt as much."""
+    by: dict[str, list[np.ndarray]] = {}
+    for raw, lang in sample(docs, "lang", rows, per_row):
+        by.setdefault(lang, []).append(np.frombuffer(raw, np.uint8).reshape(-1, WINDOW))
+    if not by:
         return Network([])
-    return Network(languages).fit(np.concatenate(x), np.array(y), epochs)
+    languages = sorted(by)
+    found = [np.concatenate(by[x]) for x in languages]
+    most = max(map(len, found))
+    x = np.concatenate([f[np.arange(most) % len(f)] for f in found])
+    return Network(languages).fit(x, np.repeat(np.arange(len(languages)), most), epochs)
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """docs with lang_pred and score, from whole texts. Columns of docs with these names are replaced.
 
-    Null texts and texts without letters (empty ones too) are und with score 0; rows repeat as they are.
+    Null texts and texts without letters (empty ones too) are und with score 0; repeated rows each get their answer.
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
     return append_columns(docs, FIELDS, lambda: sent.value.predict)
 
 
 def predicted(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of docs (doc_id, text, lang); learnt from rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score of docs (doc_id, text, lang); learnt from rows that aren't held out, of which
+    repeats count once. Other columns don't matter, whatever their names; without labelled texts all is und."""
     own = docs.select("doc_id", "text", "lang")
     network = train(own.where(~held_out()))
     return identify(own.select("doc_id", "text", held_out().alias("held_out")), network).select("doc_id", "held_out", "lang_pred", "score")
