@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -50,6 +52,38 @@ def test_large_groups_are_cut_as_little_as_can_be(spark, case):
         assert len(held) <= -(-100 // min(sizes)) + 2
 
 
+def cut_pairs(rows, docs):
+    text = dict(docs)
+    by = defaultdict(Counter)
+    for r in rows:
+        by[text[r.doc_id]][r.shard] += 1
+    return sum((sum(c.values()) ** 2 - sum(x * x for x in c.values())) // 2 for c in by.values())
+
+
+@pytest.mark.parametrize("case", ["pairs", "most", "hot"])
+def test_few_groups_are_cut_where_nearly_all_are_linked(spark, case):
+    n = 4000
+    text = {"pairs": lambda i: f"p{i // 2}", "most": lambda i: f"p{i // 2}" if i % 10 < 8 else f"u{i}", "hot": lambda i: "hot" if i < 1300 else f"t{i // 10}" if i < 3700 else f"u{i}"}[case]
+    docs = [(i, text(i)) for i in range(n)]
+    rows = sharding.assign(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    check(rows, docs)
+    assert cut_groups(rows, docs) <= 32
+    if case == "hot":
+        assert len({r.shard for r in rows if r.doc_id < 1300}) <= 9  # six at least
+
+
+def test_cut_edges_against_all_placements(spark):
+    """Small instances: near the fewest cut pairs of all even placements into two shards."""
+    rng, found, least = random.Random(1), 0, 0
+    for _ in range(6):
+        docs = [(i, f"t{rng.randrange(4)}") for i in range(10)]
+        rows = sharding.assign(spark.createDataFrame(docs, "doc_id bigint, text string"), 2).collect()
+        check(rows, docs, 2)
+        found += cut_pairs(rows, docs)
+        least += min(sum(docs[a][1] == docs[b][1] and (a in one) != (b in one) for a, b in combinations(range(10), 2)) for one in map(set, combinations(range(10), 5)))
+    assert least <= found <= 1.6 * least + 6
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = [(1, None), (1, None), (None, "a"), (2, ""), (3, ""), (4, "a"), (5, "é" * 70_000), (4, "a")]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS g", "2 AS bucket", "'s' AS shard")
