@@ -45,8 +45,8 @@ def test_edges_and_both_ways(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'q' AS n_hit", "1 AS extra")
     b = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(docs, items)
-    for most in (1 << 20, 0):
-        out = decontam.contamination(d, b, broadcast_bytes=most)
+    for most, hashes in ((1 << 20, 0), (0, 1 << 20), (0, 0)):
+        out = decontam.contamination(d, b, broadcast_bytes=most, broadcast_hashes=hashes)
         assert "extra" in out.columns and len(out.columns) == len(set(out.columns))
         cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert sorted((tuple(r) for r in out.select(*cols).collect()), key=str) == want

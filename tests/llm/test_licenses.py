@@ -41,3 +41,51 @@ def test_edges(spark):
     got = [(r.doc_id, r.licenses) for r in licenses.scan(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, []), (1, []), (2, []), (3, ["MIT"]), (None, ["MIT"])], key=str)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+MIT = [t for n, _, t in licenses.TEMPLATES if n == "MIT"][-1]
+GPL = [t for n, _, t in licenses.TEMPLATES if n == "GPL-3.0-or-later"][0]
+
+
+def wrapped(text, lines):
+    own = text.split()
+    size = -(-len(own) // lines)
+    return [" ".join(own[i : i + size]) for i in range(0, len(own), size)]
+
+
+def test_no_notice_is_lost_at_a_block_end_or_by_wrapping():
+    scan = licenses.Scanner().scan
+    for between in range(12):
+        for lines in (1, 4, 9, 31):
+            text = "\n".join([*wrapped(MIT, lines), *["some plain words of a line"] * between, *wrapped(GPL, lines)])
+            assert sorted(scan(text)[0]) == ["GPL-3.0-or-later", "MIT"], (between, lines)
+
+
+def test_blocks_follow_the_longest_template():
+    own = " ".join(f"term{i}" for i in range(600))
+    scan = licenses.Scanner([("OWN", "term599", "This license says " + own)]).scan
+    for text in ("This license says " + own, "word " * 3000 + "This license says " + own + " word" * 3000, "\n".join(("a b\nThis license says " + own).split())):
+        assert scan(text)[0] == ["OWN"]
+
+
+def test_query_matches_brute_force(spark):
+    """Every template's words against every line, in order and alone; savings and candidates by the lines' words."""
+    import zstandard
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in op8_licenses(spark, SF).collect()}
+    plain = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
+    for r in rows:
+        spans, saved = [], 0
+        for i, line in enumerate((r.text or "").split("\n")):
+            if not any(" ".join(licenses.words(n)) in " ".join(licenses.words(line)) for n in NOTICES):
+                continue
+            spans += [i, i + 1]
+            raw = " ".join(licenses.words(line)).encode()
+            for _, _, t in licenses.TEMPLATES:
+                d = zstandard.ZstdCompressionDict(" ".join(licenses.words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                given = zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                saved = max(saved, len(plain.compress(raw)) - len(given.compress(raw)))
+        found = got[r.doc_id]
+        assert [int(x) for x in found.line_spans.split(",") if x] == spans, r.doc_id
+        assert (found.n_candidates, found.best_saving) == (len(spans) // 2, saved), r.doc_id

@@ -1,26 +1,30 @@
 """Benchmark decontamination by a hash set of normalised test n-grams.
 
-The benchmark's windows are few, so their hash set goes to every executor, behind a check of its size; the
-documents stream past it once, with no shuffle. Token windows are hashed in numpy, looked up in the sorted set,
-and each hit is verified word by word. A benchmark beyond the bound takes a shuffle join on window hashes.
+The benchmark's windows are few, so their hash set goes to every executor, behind a check of its size, and is made
+once in each worker; the documents stream past it once, with no shuffle. Token windows are hashed in numpy, looked up in
+the sorted set, and each hit is verified word by word. Of a benchmark beyond the bound only sorted hashes go out, and
+hits are verified in a join on window texts; where even the hashes are too many, all windows are joined.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import append_columns, staged
 
-#: Words in a window; bytes of benchmark text that may go to every executor.
-WINDOW, BROADCAST_BYTES = 10, 32 << 20
+#: Words in a window; bytes of benchmark text whose hash set may be in every worker (it takes about 60 times as much
+#: memory); hashes that may be (8 bytes each).
+WINDOW, BROADCAST_BYTES, BROADCAST_HASHES = 10, 2 << 20, 8 << 20
 
 #: After lower-casing A-Z: digits, letters and all beyond ASCII. In UTF-8 these are just these bytes.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -104,7 +108,7 @@ def summary(n: int, spans: list[tuple[int, int]], items: list[str]) -> tuple:
     return n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0, [x for s in merged for x in s]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """docs (any columns, with text) and n_words, n_hit, n_items, items_sha256, contaminated, hit_spans.
 
     hit_spans holds the merged start and end word numbers in turn. Null and wordless texts have no words and
@@ -114,9 +118,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bro
     items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if total > broadcast_bytes:
-        return _joined(docs, items, size)
-    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.toLocalIterator()])
-    return append_columns(docs, FIELDS, lambda: Grams(sent.value, size).report)
+        return _joined(docs, items, size, broadcast_hashes)
+    sent, name = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.toLocalIterator()]), uuid.uuid4().hex
+
+    def report():
+        if name not in _OWN:
+            _OWN.clear()
+            _OWN[name] = Grams(sent.value, size)
+        return _OWN[name].report
+
+    return append_columns(docs, FIELDS, report)
+
+
+#: The set that this worker process has made last, by its broadcast.
+_OWN: dict[str, Grams] = {}
 
 
 def remove_spans(text: str | None, spans: list[int] | None) -> str | None:
@@ -131,7 +146,7 @@ def remove_spans(text: str | None, spans: list[int] | None) -> str | None:
     return (b"".join(out) + raw[last:]).decode("utf-8", "surrogatepass")
 
 
-def _joined(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, size: int, most: int) -> DataFrame:
     """The same answer by a shuffle join of window texts, for a benchmark that is too large to send out.
 
     Rows are keyed by a hash of their text, as equal texts have equal answers; the text itself stays where it is
@@ -144,8 +159,13 @@ def _joined(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
                 key, words = batch.column(0)[i].as_py(), words_of(batch.column(1)[i].as_py())
                 for n in lengths:
                     for lo in range(0, len(words) - n + 1, 4096):
-                        hi = min(len(words) - n + 1, lo + 4096)
-                        yield pa.RecordBatch.from_pydict({"key": [key] * (hi - lo), "at": list(range(lo, hi)), "w": [b" ".join(words[k : k + n]) for k in range(lo, hi)]}, schema=pa.schema([("key", pa.string()), ("at", pa.int64()), ("w", pa.binary())]))
+                        ws = [b" ".join(words[k : k + n]) for k in range(lo, min(len(words) - n + 1, lo + 4096))]
+                        at = range(len(ws))
+                        if sent is not None:
+                            h = np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64)
+                            at = np.flatnonzero(sent.value[np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)] == h).tolist()
+                        if len(at):
+                            yield pa.RecordBatch.from_pydict({"key": [key] * len(at), "at": [lo + k for k in at], "w": [ws[k] for k in at]}, schema=pa.schema([("key", pa.string()), ("at", pa.int64()), ("w", pa.binary())]))
 
     def grams(batches):
         for batch in batches:
@@ -155,6 +175,10 @@ def _joined(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
     test = staged(items.mapInArrow(grams, "item string, w binary, n bigint").distinct(), "test-windows")
     lengths = sorted(r[0] for r in test.select("n").distinct().collect())  # at most size of them
+    sent = None
+    if 0 < test.count() <= most:
+        parts = test.select("w").mapInArrow(lambda b: (pa.RecordBatch.from_pydict({"h": pa.array([xxhash.xxh64_digest(w) for w in x.column(0).to_pylist()], pa.binary())}) for x in b), "h binary")
+        sent = docs.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(r[0] for r in parts.toLocalIterator()), ">u8").astype(np.uint64)))
     keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
     texts = keyed.select("__key", "text").dropDuplicates(["__key"])
     seen = texts.mapInArrow(lambda b: windows(b, lengths), "key string, at bigint, w binary")

@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks (lines that speak of licenses, with their neighbours) are compressed by themselves and with each
-template as a raw dictionary; what a template saves ranks it. The best templates are confirmed by the exact
+Candidate blocks (lines that speak of licenses, then what stands around them, as far as the longest template may reach)
+are compressed by themselves and with each template as a raw dictionary; what a template saves ranks it. The best templates are confirmed by the exact
 differences of wording: the template's words must stand in the block nearly in order, and those that tell
 licenses apart (names, versions) must all be there.
 """
@@ -9,6 +9,7 @@ licenses apart (names, versions) must all be there.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
 import zstandard
@@ -21,8 +22,6 @@ from .shared import append_columns
 SHARE = 0.8
 #: Least share of a block's compressed size that a template must save to be a winner.
 SAVING = 0.15
-#: Lines in a block around a line that speaks of licenses.
-BLOCK_LINES = 12
 
 #: License notices: id, words that tell it apart, text (fixed values).
 TEMPLATES: list[tuple[str, str, str]] = [
@@ -70,7 +69,8 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
         raw = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.given = [zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in raw]
-        self.seen: dict[tuple[str, ...], tuple[list[str], int]] = {}
+        self.seen: dict[tuple[str, ...], tuple[list[str], int, int, int]] = {}
+        self.reach = max(map(len, self.words), default=0)
 
     def rank(self, block: list[str]) -> list[tuple[int, int]]:
         """(bytes saved, template) of the templates that save enough, most first."""
@@ -93,9 +93,9 @@ class Scanner:
         first, end = parts[0].b, parts[-1].b + parts[-1].size
         return 2 * sum(m.size for m in parts) / (len(own) + end - first), first, end
 
-    def block(self, text: list[str]) -> tuple[list[str], int]:
-        """Confirmed licenses of a block's words, and the best saving. Of templates that stand in one place, the one
-        with the least differences counts."""
+    def block(self, text: list[str]) -> tuple[list[str], int, int, int]:
+        """Confirmed licenses of a block's words, the best saving, and the first and end word of what is confirmed. Of
+        templates that stand in one place, the one with the least differences counts."""
         key = tuple(text)
         if (known := self.seen.get(key)) is not None:
             return known
@@ -107,44 +107,44 @@ class Scanner:
                 places.append((a, b))
                 if self.names[i] not in found:
                     found.append(self.names[i])
-        if len(self.seen) < 10_000:
-            self.seen[key] = (found, ranked[0][0] if ranked else 0)
-        return found, ranked[0][0] if ranked else 0
+        made = found, ranked[0][0] if ranked else 0, min((a for a, _ in places), default=0), max((b for _, b in places), default=0)
+        if len(self.seen) < 10_000 and len(text) <= 2 * self.reach:
+            self.seen[key] = made
+        return made
 
     def scan(self, text: str | None) -> tuple[list[str], int, int, list[int]]:
         if not text or not SPEAKS.search(text):
             return [], 0, 0, []
         lines = text.split("\n")
-        near, found, n, best, spans = [i for i, x in enumerate(lines) if SPEAKS.search(x)], [], 0, 0, []
-        at = 0
-        while at < len(near):
-            first = near[at]
-            for size in (1, BLOCK_LINES):  # a notice of one line, else one that runs on
-                block = words("\n".join(lines[first : first + size]))
-                if not block:
+        near, flat, starts, ends = [], [], [], []
+        for i, line in enumerate(lines):
+            starts.append(len(flat))
+            flat += words(line)
+            ends.append(len(flat))
+            if SPEAKS.search(line):
+                near.append(i)
+        found, n, best, spans, done, size = [], 0, 0, [], 0, 2 * self.reach
+        for i in near:
+            if ends[i] <= done:
+                continue
+            first, end = max(done, starts[i]), ends[i]
+            tries = [(first, end)] * (end - first <= size)  # the line by itself, else with what is around it, step by step
+            tries += [(k, k + size) for k in range(max(done, first - self.reach), max(first + 1, end - self.reach), self.reach)]
+            for a, b in tries:
+                a, block = max(a, done), flat[max(a, done) : b]
+                if not block or (end - first > size and not SPEAKS.search(" ".join(block))):
                     continue
                 n += 1
-                names, saved = self.block(block) if len(block) <= 2000 else self._long(block)
+                names, saved, lo, hi = self.block(block)
                 best = max(best, saved)
                 if names:
                     found += [x for x in names if x not in found]
-                    spans += [first, min(len(lines), first + size)]
-                    break
-            else:
-                size = 1
-            while at < len(near) and near[at] < first + size:
-                at += 1
+                    spans += [bisect_right(starts, a + lo) - 1, bisect_right(starts, a + hi - 1)]
+                    done = a + hi
+                    if end - first <= size:
+                        break
         return found, n, best, spans
 
-    def _long(self, block: list[str]) -> tuple[list[str], int]:
-        """A very long line or block: overlapping windows of its words, all of them."""
-        found, best = [], 0
-        for i in range(0, len(block), 200):
-            names, saved = self.block(block[i : i + 400])
-            found += [x for x in names if x not in found]
-            best = max(best, saved)
-        return found, best
-
     def report(self, texts: list[str | None]) -> list[list]:
         rows = [self.scan(t) for t in texts]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in FIELDS]

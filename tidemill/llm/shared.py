@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; where unset (as in tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
