@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalar import let
@@ -47,27 +49,77 @@ def index(df: DataFrame, key: str, field: str, tokenizer: str = "unicode") -> tu
     return postings, lengths
 
 
+#: Folders of a stored index's postings: a search reads those of its terms only.
+BUCKETS = 64
+
+
+def store(df: DataFrame, key: str, field: str, path: str, tokenizer: str = "unicode") -> None:
+    """Writes the index of a text field: postings with their documents' lengths, by bucket and term, and one row of totals.
+
+    A frequent term's postings are dealt to several files by key.
+    """
+    postings, lengths = index(df, key, field, tokenizer)
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/totals")
+    rows = df.select(key, tokens(F.coalesce(F.col(field), F.lit("")), tokenizer).alias("ts"))
+    at = rows.select(key, F.size("ts").alias("dl"), F.posexplode("ts").alias("pos", "term"))
+    full = at.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    full = full.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)))
+    full.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search(spark: SparkSession, path: str, key: str, terms: list[str], mode: str = "and") -> DataFrame:
+    """(key, bm25) from a stored index: reads the asked terms' postings and the totals, no text."""
+    want = sorted(set(terms))
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in want})
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(want)).select(key, "term", "dl", "tf")
+    dfs = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per asked term
+    rows = hits.join(F.broadcast(dfs), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/totals")))
+    out = rows.groupBy(key).agg(F.sum(_weight(F.col("df"), F.col("tf"))).alias("bm25"), F.count(F.lit(1)).alias("__n"))
+    return (out.where(F.col("__n") == len(want)) if mode == "and" else out).select(key, "bm25")
+
+
+def _weight(df: Column, tf: Column) -> Column:
+    """BM25 of a unit that df of n documents hold, tf times in one of dl tokens."""
+    idf = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    return idf * (K1 + 1) * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def _scored(matches: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
     """(key, unit, tf) with BM25 by unit; df is the number of keys that match a unit."""
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
     dfs = matches.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
     rows = matches.join(dfs, "unit").join(lengths, key).crossJoin(F.broadcast(stats))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.select(key, "unit", score.alias("score"))
+    return rows.select(key, "unit", _weight(F.col("df"), F.col("tf")).alias("score"))
+
+
+def scored_rows(df: DataFrame, field: str, units: Callable[[Column], list[Column]], n: int, mode: str = "and", tokenizer: str = "unicode", name: str = "bm25") -> DataFrame:
+    """The rows of df that match all (and) or any (or) of n units, with their BM25. units gives each unit's number in a
+    row's tokens. Tokens are made and counted where the text lies: one aggregate for the totals, no shuffle of rows."""
+    def count(ts: Column) -> Column:
+        return F.struct(F.size(ts).alias("dl"), F.array(*[u.cast("int") for u in units(ts)]).alias("tf"))
+
+    rows = df.withColumn("__c", let(tokens(F.coalesce(F.col(field), F.lit("")), tokenizer), count))
+    held = [F.sum((F.col("__c.tf")[i] > 0).cast("long")) for i in range(n)]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("__c.dl").alias("avgdl"), F.array(*held).alias("dfs"))  # one row
+    found = F.size(F.filter("__c.tf", lambda x: x > 0))
+    hits = rows.where(found == n if mode == "and" else found > 0)
+    hits = hits.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__own"), "__c.*").crossJoin(F.broadcast(stats))
+    parts = [F.when(F.col("tf")[i] > 0, _weight(F.col("dfs")[i], F.col("tf")[i])).otherwise(F.lit(0.0)) for i in range(n)]
+    return hits.select("__own.*", reduce(lambda a, b: a + b, parts).alias(name))
+
+
+def _terms(want: list[str]) -> Callable[[Column], list[Column]]:
+    def one(ts: Column, w: str) -> Column:
+        return F.size(F.filter(ts, lambda x: x == w))
+
+    return lambda ts: [one(ts, w) for w in want]
 
 
 def bm25(df: DataFrame, key: str, field: str, terms: list[str], mode: str = "and", tokenizer: str = "unicode", weight: float = 1.0) -> DataFrame:
-    """(key, bm25) of the rows that hold all (and) or any (or) of the terms. Terms are counted where the text lies;
-    only matches are shuffled."""
+    """(key, bm25) of the rows that hold all (and) or any (or) of the terms."""
     want = sorted(set(terms))
-    rows = df.select(key, tokens(F.coalesce(F.col(field), F.lit("")), tokenizer).alias("ts"))
-    lengths = rows.select(key, F.size("ts").alias("dl"))
-    hits = rows.select(key, F.explode(F.filter("ts", lambda x: x.isin(want))).alias("unit")).groupBy(key, "unit").agg(F.count(F.lit(1)).alias("tf"))
-    scored = _scored(hits, lengths, key).groupBy(key).agg(F.sum("score").alias("bm25"), F.count(F.lit(1)).alias("__n"))
-    if mode == "and":
-        scored = scored.where(F.col("__n") == len(want))
-    return scored.select(key, (F.col("bm25") * weight).alias("bm25"))
+    out = scored_rows(df.select(key, field), field, _terms(want), len(want), mode, tokenizer)
+    return out.select(key, (F.col("bm25") * weight).alias("bm25"))
 
 
 def _starts(ts: Column, words: list[str]) -> Column:
@@ -78,9 +130,7 @@ def _starts(ts: Column, words: list[str]) -> Column:
 
 def phrase(df: DataFrame, key: str, field: str, words: list[str], tokenizer: str = "unicode") -> DataFrame:
     """(key, bm25) of the rows that hold the phrase; tf is the number of its starts."""
-    rows = df.select(key, tokens(F.coalesce(F.col(field), F.lit("")), tokenizer).alias("ts"))
-    hits = rows.select(key, F.lit(" ".join(words)).alias("unit"), let(F.col("ts"), lambda ts: _starts(ts, words)).alias("tf")).where("tf > 0")
-    return _scored(hits, rows.select(key, F.size("ts").alias("dl")), key).select(key, F.col("score").alias("bm25"))
+    return scored_rows(df.select(key, field), field, lambda ts: [_starts(ts, words)], 1, "and", tokenizer).select(key, "bm25")
 
 
 def near(df: DataFrame, key: str, field: str, words: list[str], distance: int, ordered: bool = False, tokenizer: str = "unicode") -> DataFrame:
@@ -89,14 +139,26 @@ def near(df: DataFrame, key: str, field: str, words: list[str], distance: int, o
     tf counts the first word's positions. ordered: each next word is the first one after the word before it.
     Else each other word is taken where it is nearest, and all must span no more than distance.
     """
-    rows = df.select(key, tokens(F.coalesce(F.col(field), F.lit("")), tokenizer).alias("ts"))
-
     def count(ts: Column) -> Column:
         places = F.array(*[F.filter(F.transform(ts, _place(w)), lambda p: p.isNotNull()) for w in words])
         return let(places, lambda p: F.size(F.filter(p[0], lambda anchor: _close(p, anchor, len(words), distance, ordered))))
 
-    hits = rows.select(key, F.lit("near").alias("unit"), let(F.col("ts"), count).alias("tf")).where("tf > 0")
-    return _scored(hits, rows.select(key, F.size("ts").alias("dl")), key).select(key, F.col("score").alias("bm25"))
+    return scored_rows(df.select(key, field), field, lambda ts: [count(ts)], 1, "and", tokenizer).select(key, "bm25")
+
+
+def match(df: DataFrame, fields: list[str], query: str, name: str = "bm25", tokenizer: str = "unicode") -> DataFrame:
+    """The rows of df in one of whose fields all of the query's distinct tokens stand, with their BM25 over these fields.
+    A query without tokens is taken as one term, in lower case."""
+    spark = df.sparkSession
+    want = sorted(set(spark.range(1).select(tokens(F.lit(query), tokenizer).alias("t")).first()["t"])) or [query.lower()]
+    parts = []
+    for i, f in enumerate(fields):
+        got = scored_rows(df.withColumn("__row", F.monotonically_increasing_id()) if len(fields) > 1 else df, f, _terms(want), len(want), "and", tokenizer, f"__s{i}")
+        parts.append(got)
+    if len(parts) == 1:
+        return parts[0].withColumnRenamed("__s0", name)
+    sums = reduce(lambda a, b: a.unionByName(b), [p.select("__row", F.col(f"__s{i}").alias(name)) for i, p in enumerate(parts)]).groupBy("__row").agg(F.sum(name).alias(name))
+    return df.withColumn("__row", F.monotonically_increasing_id()).join(sums, "__row").drop("__row")
 
 
 def _close(places: Column, anchor: Column, n: int, distance: int, ordered: bool) -> Column:

@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,33 +85,6 @@ def holt_kernel(alpha: float, beta: float) -> Kernel:
     return start
 
 
-def pid_kernel(setpoint: float, kp: float, ki: float, kd: float) -> Kernel:
-    """Controller output by row; times in milliseconds. Where no time passed: the terms kp and ki, and no new state."""
-
-    def start():
-        last, total, out = None, 0.0, None
-
-        def step(t, x):
-            nonlocal last, total, out
-            if x is None:
-                return None
-            e = setpoint - x
-            if last is None:
-                last, out = (t, e), kp * e
-                return out
-            dt = (t - last[0]) / 1000.0
-            if dt <= 0:
-                return kp * e + ki * total
-            total += e * dt
-            out = kp * e + ki * total + kd * (e - last[1]) / dt
-            last = (t, e)
-            return out
-
-        return step
-
-    return start
-
-
 def cusum_kernel(threshold: float, drift: float) -> Kernel:
     """True where a two-sided sum of deviations from the baseline passes its bound; both sums then start anew."""
 
@@ -145,13 +118,23 @@ def holt_winters(df: DataFrame, tags: list[str], time: str, x: str, alpha: float
 
 
 def pid_series(df: DataFrame, tags: list[str], time: str, x: str, setpoint: float, kp: float, ki: float, kd: float, name: str = "pid") -> DataFrame:
-    return series_scan(df, tags, time, [x], pid_kernel(setpoint, kp, ki, kd), name, T.DoubleType())
+    """df with the controller's output by row, from window sums; times in milliseconds. Rows where no time passed since
+    the row before give the terms kp and ki and leave the state alone; rows without a value give none."""
+    by = Window.partitionBy(*tags)
+    given = F.col(x).isNotNull()
+    at = Window.partitionBy(*tags, time, given)
+    rows = df.withColumn("__e", F.lit(setpoint) - F.col(x)).withColumn("__first", given & (F.row_number().over(at.orderBy(F.lit(1))) == 1))
+    order = by.orderBy(time, F.desc("__first"))
+    before = F.last(F.when(F.col("__first"), F.struct(F.col(time).alias("t"), F.col("__e").alias("e"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__b", before).withColumn("__dt", (F.col(time) - F.col("__b.t")) / 1000.0)
+    area = F.sum(F.when(F.col("__first"), F.col("__e") * F.col("__dt"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    two = kp * F.col("__e") + ki * F.coalesce(area, F.lit(0.0))
+    value = F.when(~F.col("__first"), two).when(F.col("__b").isNull(), kp * F.col("__e")).otherwise(two + kd * (F.col("__e") - F.col("__b.e")) / F.col("__dt"))
+    return rows.withColumn(name, F.when(given, value)).drop("__e", "__first", "__b", "__dt")
 
 
 def changepoint(df: DataFrame, tags: list[str], time: str, x: str, threshold: float, drift: float = 0.5, name: str = "changepoint") -> DataFrame:
     """CUSUM against a baseline from the first max(5, n // 4) values of each series (n - 1 at most)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*tags).orderBy(time)
     v = F.col(x).cast("double")
     numbered = df.withColumn("__k", F.count(v).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -170,8 +153,6 @@ def pid_estimate(df: DataFrame, tags: list[str], time: str, x: str, method: str
     Gain and levels come from the means of the first and last parts of the series; the times at which 35 % and 85 %
     of the change are first passed give the time constant and the dead time. method: zn, cc or imc.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*tags).orderBy(time)
     rows = df.where(F.col(x).isNotNull()).withColumn("__k", F.row_number().over(w)).withColumn("__dt", F.lead(time).over(w) - F.col(time))
     sizes = df.groupBy(*tags).agg(F.count(x).alias("__n"), F.min(F.when(F.col(x).isNotNull(), F.col(time))).alias("__t0"))

@@ -21,6 +21,12 @@ def vector_search(df: DataFrame, column: str, query: list[float], k: int, metric
     return found.withColumn("vector_score", distance_score(F.col("vector_distance"), metric))
 
 
+def scored(df: DataFrame, column: str, query: list[float], metric: str = "cosine") -> DataFrame:
+    """All rows with a vector, with their vector_score."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return df.withColumn("vector_score", distance_score(distance(F.col(column), q, metric), metric)).where("vector_score IS NOT NULL")
+
+
 def parse_vector(text, size: int | None = None):
     """A vector column of JSON array text."""
     v = F.from_json(text, "array<double>")
@@ -55,10 +61,11 @@ def hybrid_measurement(near: DataFrame, docs: DataFrame, on, text_scores: DataFr
 class IvfIndex:
     """Rows written by their nearest of lists centroids; a search reads the nearest probes lists only.
 
-    Centroids are fitted on a sample of at most sample_rows vectors; every row is indexed.
+    Centroids are fitted on a sample of at most sample_rows vectors; every row is indexed. probes is the share of the
+    lists that a search reads: recall depends on it, whatever the number of lists.
     """
 
-    def __init__(self, lists: int = 64, probes: int = 8, sample_rows: int = 50_000, seed: int = 1):
+    def __init__(self, lists: int = 64, probes: int = 32, sample_rows: int = 50_000, seed: int = 1):
         self.lists, self.probes, self.sample_rows, self.seed = lists, probes, sample_rows, seed
         self.centres: list[list[float]] = []
         self.path = ""
@@ -83,6 +90,16 @@ class IvfIndex:
         return knn(spark.read.parquet(self.path).where(F.col("ivf_list").isin(near)), column, query, k, metric, tie)
 
 
+    def search_many(self, queries: DataFrame, key: str, column: str, k: int, metric: str = "cosine", tie: str = "vec_id", probes: int | None = None) -> DataFrame:
+        """(query, tie, distance): the k nearest rows of each of a stated set of queries (key, column), one join on lists."""
+        own = F.array(*[F.struct(distance(F.col(column), F.array(*[F.lit(x) for x in c]), "l2").alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)])
+        near = F.transform(F.slice(F.array_sort(own), 1, probes or self.probes), lambda x: x["i"])
+        asked = queries.select(F.col(key).alias("query"), F.col(column).alias("__q"), F.explode(near).alias("ivf_list"))
+        rows = queries.sparkSession.read.parquet(self.path).select(tie, column, "ivf_list")
+        found = rows.join(asked, "ivf_list").withColumn("distance", distance(F.col(column), F.col("__q"), metric)).where("distance IS NOT NULL")
+        return top_per_group(found, ["query"], ["distance", tie], k).select("query", tie, "distance")
+
+
 def quantize8(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """df with 8-bit codes of each vector and the step that restores them: code * step + low."""
     v = F.col(column)

@@ -144,6 +144,19 @@ def wide(points: DataFrame, measurement: str, tags: dict[str, str] | list[str],
     return cells.groupBy("time", *tags).agg(*made)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with their place, from 0 without gaps: counted by task first, whatever the splits."""
+    at = rows.withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("__at", 33)
+    sizes = {r[0]: r[1] for r in at.groupBy(part).count().collect()}  # a row per task
+    before, run = [], 0
+    for k in sorted(sizes):
+        before += [F.lit(k), F.lit(run)]
+        run += sizes[k]
+    first = F.element_at(F.create_map(*before), part) if before else F.lit(0)
+    return at.withColumn("ordinal", first + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+
+
 def json_each(spark: SparkSession, path: str, form: str = "auto", id_path: str | None = None) -> DataFrame:
     """ordinal, id, document of a JSON array file or a file of JSON lines. Lines are read in parallel; an array file is one row."""
     if form == "auto":
@@ -153,7 +166,7 @@ def json_each(spark: SparkSession, path: str, form: str = "auto", id_path: str |
         docs = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<variant>")).alias("ordinal", "v")).select("ordinal", F.to_json("v").alias("document"))
     elif form in ("lines", "ndjson", "jsonl"):
         rows = spark.read.text(path).where("trim(value) <> ''")
-        docs = rows.select(F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("document"))
+        docs = _numbered(rows).select("ordinal", F.col("value").alias("document"))
     else:
         raise ValueError(f"unknown format: {form}")
     own = F.get_json_object("document", id_path) if id_path else F.coalesce(F.get_json_object("document", "$.id"), F.get_json_object("document", "$._id"))
