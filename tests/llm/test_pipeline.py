@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontam import brute
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_tokens import WORDS, check_packing, library
+from tidemill.llm import toxic_cnn
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,32 +29,26 @@ def test_language_keeps_what_has_letters(spark, docs):
     assert corpus_pipeline.language(spark, docs.limit(0), SF).count() == 0
 
 
-def test_toxicity_keeps_columns_and_most_rows(spark, docs):
+def test_toxicity_keeps_what_op4_calls_clean(spark, docs):
     out = corpus_pipeline.toxicity(spark, docs, SF)
-    assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    want = toxic_cnn.predicted(docs, labels).where("predicted = 0")
+    assert out.columns == docs.columns and ids(out) == ids(want)
     assert corpus_pipeline.toxicity(spark, docs.limit(0), SF).count() == 0
 
 
-def test_near_dedup_keeps_one_of_each_group(spark, docs):
-    out = corpus_pipeline.near_dedup(spark, docs, SF)
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
-    named = plain_components([plain_fingerprint(t) for _, t in rows], [d for d, _ in rows])
-    assert out.columns == docs.columns
-    assert ids(out.where("doc_id is not null")) == sorted({c for (d, _), c in zip(rows, named, strict=True) if d == c}, key=str)
-    assert out.where("doc_id is null").count() == 1
-    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
-
-
 def test_decontaminate_matches_brute_force(spark, docs):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {r[0] for r in brute([(r.doc_id, r.text) for r in docs.collect()], items) if r[5]}
     out = corpus_pipeline.decontaminate(spark, docs, SF)
     assert out.columns == docs.columns and ids(out) == [d for d in ids(docs) if d not in bad]
+    assert corpus_pipeline.decontaminate(spark, docs.limit(0), SF).count() == 0
 
 
 def test_packing_and_the_whole(spark, docs):
     rows = [tuple(r) for r in corpus_pipeline.pack(spark, docs, SF).collect()]
     check_packing(rows, library(WORDS), [(r.doc_id, r.text) for r in docs.collect()], 2048)
+    assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
     whole = corpus_pipeline.run(spark, SF)
     assert whole.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and whole.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near-dedup", "decontaminate", "packing"]
