@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import token_ids
-from .shared import fresh_path, staged
+from .shared import fresh_path, staged, trim
 
 #: Ids in a row; rows in a batch.
 LENGTH, ROWS = 2048, 256
@@ -134,7 +134,7 @@ def write(docs: DataFrame, vocabulary: str, length: int = LENGTH, rows: int = RO
                 system, path = fs.FileSystem.from_uri(folder)
                 system.create_dir(path, recursive=True)
                 name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.arrows"
-                encoder = token_ids.encoder(vocabulary)
+                encoder = token_ids.Encoder(vocabulary)
                 bits = 16 if encoder.library.get_vocab_size() <= 1 << 16 else 32
                 writer = Writer(name, batch.column(0).type, length, rows, bits)
             for first, bounds, ids in encoder.encode(batch.column(1)) if batch.num_rows else ():
@@ -143,6 +143,8 @@ def write(docs: DataFrame, vocabulary: str, length: int = LENGTH, rows: int = RO
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n], "n_tokens": [writer.total]})
+            del encoder, writer
+            trim()
 
     return staged(ordered.mapInArrow(run, "part bigint, file string, n_docs bigint, n_tokens bigint"), "manifest")
 

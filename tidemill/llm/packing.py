@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import token_ids
-from .shared import staged
+from .shared import staged, trim
 
 CAPACITY = 2048
 
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "deal"]
 
     def run(batches):
-        encoder, dealt = token_ids.encoder(vocabulary), TaskContext.get().partitionId() << 40
+        encoder, dealt = token_ids.Encoder(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, bounds, ids in encoder.encode(batch.column(1)):
                 sizes = np.diff(bounds)
@@ -189,6 +189,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
                 found += [pa.array([bytes(c) for c in cuts], pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays([*found, pa.array(np.arange(dealt, dealt + len(doc)))], names=names)
                 dealt += len(doc)
+        del encoder
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", deal bigint")
 

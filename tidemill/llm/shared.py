@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,11 +59,19 @@ def append_columns(
             for part in by_bytes(batch, at):
                 out = score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, t) for v, t in zip(out, arrow, strict=True)]], names=names)
+        trim()
 
     return kept.mapInArrow(run, schema)
 
 
-def by_bytes(batch: pa.RecordBatch, at: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers wait for their next task beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def by_bytes(batch: pa.RecordBatch, at: int, limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes of text each, so that many long texts are never held at once."""
     rows = batch.num_rows
     if not rows:

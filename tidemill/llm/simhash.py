@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, staged
+from .shared import by_bytes, staged, trim
 
 #: Bits that linked fingerprints may differ in; words in a shingle.
 BITS, SHINGLE = 4, 4
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for part in by_bytes(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t, size) for t in part.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")

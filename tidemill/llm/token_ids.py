@@ -25,7 +25,7 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of letters that normal forms leave alone and that have a lower case of one letter: no pattern parts them.
 WORD = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]+").fullmatch
 #: Bytes of text that are encoded at once, a longer text in one.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -157,13 +157,3 @@ class Encoder:
         if "" in found:
             found[""] = b"\x00\x00\x00\x00"
         return found
-
-
-_OWN: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """This process's encoder: a worker keeps its cache from one task to the next."""
-    if path not in _OWN:
-        _OWN[path] = Encoder(path)
-    return _OWN[path]
