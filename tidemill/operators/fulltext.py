@@ -20,7 +20,9 @@ def tokens(text: Column, tokenizer: str = "unicode") -> Column:
     """unicode: runs of letters and digits in lower case, ideographs one by one. cjk: pairs of ideographs, a lone one by itself."""
     low = F.lower(text)
     if tokenizer == "unicode":
-        return F.regexp_extract_all(low, F.lit(f"[{CJK}]|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+        some = F.regexp_extract_all(low, F.lit(f"[{CJK}]|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+        plain = F.regexp_extract_all(low, F.lit("[a-z0-9\\p{L}\\p{N}]++"), F.lit(0))  # the same without ideographs, with less work for each letter
+        return F.when(low.rlike(f"[{CJK}]"), some).otherwise(plain)
     if tokenizer != "cjk":
         raise ValueError(f"unknown tokenizer: {tokenizer}")
     runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
