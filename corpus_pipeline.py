@@ -2,7 +2,7 @@
 
 language    documents that are und, or whose language is unsure, go
 toxicity    documents called toxic go
-near-dedup  of each group of linked near copies (5-word shingles, Jaccard 0.8 or more), one row stays: the smallest doc_id
+near-dedup  of each group of linked near copies (SimHash, verified; 5-word shingles, Jaccard 0.8 or more), one row stays: the smallest doc_id
 decontaminate  documents that hold benchmark windows go
 packing     the rest is cut and packed: one row per piece
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemill.llm import near_copies
@@ -85,3 +86,28 @@ def test_parities_never_drop_a_similar_pair():
             assert found or not alike
             passed[found] += 1
     assert min(passed.values()) > 50
+
+
+def test_simhash_proposes_and_prefixes_add_the_rest(spark):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(6)]
+    rows = []
+    for t in texts:
+        rows += [t, [*t[:-1], "x"], ["y", *t[1:]], [*t[:-40], *[f"z{i}" for i in range(9)]]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    found = near_copies.sets(docs).cache()
+    print_of = {r.id: r.fp for r in found.collect()}
+    for r in found.collect():
+        h = near_copies.shingles(" ".join(rows[r.doc_id]))
+        assert r.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in h) > len(h))
+    near = {(a, b) for a in print_of for b in print_of if a < b and ((print_of[a] ^ print_of[b]) & (2**64 - 1)).bit_count() <= near_copies.BITS}
+    got = {(r.a, r.b) for r in near_copies.proposed(found).collect()}
+    assert got <= near and len(near) >= 6
+    rootless = near_copies.components(found.withColumn("prefix", F.expr("cast(array() AS array<bigint>)")), docs)
+    least = {i: i for i in print_of}
+    for _ in print_of:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    # without prefixes, what SimHash finds is linked, and nothing else
+    assert {(r.node, r.root) for r in rootless.collect()} == {(i, r) for i, r in least.items() if i != r}
+    assert near_copies.components(found, docs).count() == 18

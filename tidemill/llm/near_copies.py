@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-A text is the set of the XXH64 hashes of its shingles, in one order for all texts, rare shingles first. Two sets
-of similarity PART / WHOLE or more share a shingle among the first n - ceil(n * PART / WHOLE) + 1 of each, so the
-join of these prefixes misses no pair; bounds by size and position drop most others, and the rest are verified on
-complete sets. The order rests on a sample and changes the time only, never the pairs. Equal sets are one set.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles; prefix filtering adds what SimHash misses.
+
+A text is the set of the XXH64 hashes of its shingles; equal sets are one set. SimHash fingerprints of all sets are
+linked by multi-index hashing (simhash.links), and each pair that they propose is verified on complete sets.
+A fingerprint says nothing for certain: sets of similarity PART / WHOLE may differ in more bits than can be looked up.
+So the pairs beyond are found by prefixes: in one order for all texts, rare shingles first, two sets as similar share
+a shingle among the first n - ceil(n * PART / WHOLE) + 1 of each; bounds by size and position drop most others,
+and the rest are verified. The order rests on a sample and changes the time only, never the pairs.
 A shingle that many sets share would make pairs with the square of their number: each set is first linked with the
 least set of each of its shingles, and only sets of different components are paired after that.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, staged, trim
-from .simhash import stars
+from .simhash import BITS, links, stars
 
 #: Words in a shingle; similarity from which texts are near copies, as a fraction.
 SHINGLE, PART, WHOLE = 5, 4, 5
@@ -51,6 +53,14 @@ def may_be_alike(a: bytes, na: int, b: bytes, nb: int) -> bool:
     return (WHOLE + PART) * int(np.bitwise_count(x ^ y).sum()) <= (WHOLE - PART) * (na + nb)
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set: the bits that over half of h have, as a signed 64-bit number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def _frequent(docs: DataFrame) -> list[int]:
     """Shingles that several sampled texts have, the most frequent last."""
 
@@ -65,7 +75,7 @@ def _frequent(docs: DataFrame) -> list[int]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), id (equal for equal sets), n (shingles), prefix, in the common order, and bits (parities) of every row of docs."""
+    """doc_id, digest (of the text), id (equal for equal sets), n (shingles), fp (SimHash), prefix, in the common order, and bits (parities) of every row of docs."""
     order = np.array(_frequent(docs), np.int64)
     by_value = np.argsort(order)
     sent = docs.sparkSession.sparkContext.broadcast((order[by_value], by_value))  # bounded by ORDER_SHINGLES
@@ -84,14 +94,15 @@ def sets(docs: DataFrame) -> DataFrame:
                 found = [shingles(t) for t in part.column(2).to_pylist()]
                 ids = pa.array([xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in found], pa.uint64())
                 n = pa.array([len(h) for h in found], pa.int64())
+                fp = pa.array([fingerprint(h) for h in found], pa.int64())
                 first = [ordered(h)[: len(h) + (-len(h) * PART) // WHOLE + 1] if len(h) > 1 else h[:0] for h in found]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first)))
                 bits = pa.array([parities(h) for h in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids.view(pa.int64()), n, lists, bits], names=["doc_id", "digest", "id", "n", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids.view(pa.int64()), n, fp, lists, bits], names=["doc_id", "digest", "id", "n", "fp", "prefix", "bits"])
         trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest string, id bigint, n bigint, prefix array<bigint>, bits binary")
+    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest string, id bigint, n bigint, fp bigint, prefix array<bigint>, bits binary")
 
 
 def digest() -> Column:
@@ -137,6 +148,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return staged(pairs.join(one, "a").join(two, "b").where((PART + WHOLE) * both >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-links")
 
 
+def proposed(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids whose fingerprints differ in BITS bits or fewer: enough of them for the same components."""
+    marked = staged(rows.where("n > 1").select("fp", "id").distinct(), "near-fingerprints")
+    first = staged(marked.groupBy("fp").agg(F.min("id").alias("a")), "near-prints")
+    equal = marked.join(first, "fp").where("a < id").select("a", F.col("id").alias("b"))
+    near = links(first.select("fp"), first.count(), BITS)
+    one, two = (first.select(F.col("fp").alias(x), F.col("a").alias(f"id{x}")) for x in "ab")
+    near = near.join(one, "a").join(two, "b").select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+    return equal.unionByName(near)
+
+
 def components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the ids of rows (as sets() gives them of docs) that have near copies, roots themselves left out."""
     unique = rows.where("n > 1").groupBy("id").agg(F.first(F.struct("n", "prefix")).alias("s"))
@@ -151,7 +173,8 @@ def components(rows: DataFrame, docs: DataFrame) -> DataFrame:
         na, nb, ata, atb = map(F.col, (na, nb, ata, atb))
         return (WHOLE * F.least(na, nb) >= PART * F.greatest(na, nb)) & ((PART + WHOLE) * F.least(na - ata, nb - atb) >= PART * (na + nb))
 
-    first = _verified(shared.where((F.col("a") < F.col("id")) & alike("n", "na", "at", "ata")).select("a", F.col("id").alias("b")), rows, docs)
+    starred = shared.where((F.col("a") < F.col("id")) & alike("n", "na", "at", "ata")).select("a", F.col("id").alias("b"))
+    first = _verified(proposed(rows).unionByName(starred), rows, docs)
     root = staged(stars(first), "near-roots")
     known = shared.select("shingle", "id", "n", "at").join(root, shared.id == root.node, "left").select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
     known = staged(known, "near-known")
