@@ -41,3 +41,12 @@ def test_query(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_holt_winters_has_the_digits_of_its_sql(spark):
+    """On a table where sums in another order, or rounding of decimal digits, change the fourth digit of some rows."""
+    larger = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{larger}/events.parquet'")
+    want = dict(con.execute(catalogue.ORACLE_SQL["holt_winters"]).fetchall())
+    assert {r.event_id: r.s for r in catalogue.QUERIES["holt_winters"](spark, larger).collect()} == want

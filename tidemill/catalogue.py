@@ -376,7 +376,8 @@ SELECT user_id, k, event_id, CASE WHEN x IS NULL THEN l ELSE nl END, CASE WHEN x
  CASE WHEN x IS NULL THEN s WHEN l IS NULL THEN x WHEN t IS NULL THEN x + x - l ELSE nl + 0.3 * (nl - l) + 0.7 * t END
 FROM (SELECT k.user_id, k.k, k.event_id, k.x, z.l, z.t, z.s, CASE WHEN z.l IS NULL OR z.t IS NULL THEN k.x ELSE 0.5 * k.x + 0.5 * (z.l + z.t) END AS nl FROM z JOIN k ON k.user_id = z.user_id AND k.k = z.k + 1)) SELECT event_id, round(s, 4) AS s FROM z""")
 def holt_winters(spark, d):
-    return R.holt_winters(events(spark, d), ["user_id"], "time", "x", 0.5, 0.3, "s").select("event_id", F.round("s", 4).alias("s"))
+    s = R.holt_winters(events(spark, d), ["user_id"], "time", "x", 0.5, 0.3, "s")
+    return s.select("event_id", (F.round(F.col("s") * 10000) / 10000).alias("s"))  # as SQL's engine rounds: F.round(s, 4) takes the decimal digits
 
 
 @query(f"""WITH RECURSIVE {NUMBERED}, c AS (SELECT *, count(x) OVER (PARTITION BY user_id ORDER BY time, event_id ROWS UNBOUNDED PRECEDING) AS j, count(x) OVER (PARTITION BY user_id) AS n FROM k),

@@ -71,13 +71,14 @@ def holt_kernel(alpha: float, beta: float) -> Kernel:
                 if level is None:
                     level, shown = x, x
                 elif trend is None:
+                    shown = x + x - level
                     trend, level = x - level, x
-                    shown = level + trend
                 else:
-                    before = level
+                    before, rest = level, (1 - beta) * trend
                     level = alpha * x + (1 - alpha) * (level + trend)
-                    trend = beta * (level - before) + (1 - beta) * trend
-                    shown = level + trend
+                    gain = beta * (level - before)
+                    shown = level + gain + rest  # summed in SQL's order, so that the last bit is the same
+                    trend = gain + rest
             return shown
 
         return step
