@@ -49,11 +49,10 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group of near copies: the smallest doc_id, nulls last. Unlike texts stay, whatever their doc_id."""
     names = docs.columns
     out, repeated = near_copies.dropped(docs)
-    out = out.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "doc_id", near_copies.digest().alias("__own"))
-    held = held.join(out, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_anti")
+    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "doc_id", near_copies.digest().alias("digest"))
+    held = near_copies.left_out(held, out)
     if repeated:
-        held = held.dropDuplicates(["doc_id", "__own"])
+        held = held.dropDuplicates(["doc_id", "digest"])
     return held.select("row.*")
 
 

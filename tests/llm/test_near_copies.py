@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import near_copies
+from tidemill.llm import near_copies, shared
 
 SF = "/root/testdata/sf0.01"
 
@@ -111,3 +111,51 @@ def test_simhash_proposes_and_prefixes_add_the_rest(spark):
     # without prefixes, what SimHash finds is linked, and nothing else
     assert {(r.node, r.root) for r in rootless.collect()} == {(i, r) for i, r in least.items() if i != r}
     assert near_copies.components(found, docs).count() == 18
+
+
+def test_sketches_never_drop_a_similar_pair():
+    rng = np.random.default_rng(6)
+    passed = dict.fromkeys((True, False), 0)
+    for n in (2, 30, 146, 400, 3000):
+        for _ in range(60):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            b = np.unique(np.concatenate((a[rng.permutation(len(a))[: int(len(a) * rng.uniform(0.4, 1.0)) + 1]], rng.integers(-(2**63), 2**63 - 1, rng.integers(0, n // 4 + 1)))))
+            both = len(np.intersect1d(a, b))
+            x, y = (near_copies.sketch(near_copies.parities(s)) for s in (a, b))
+            found = 9 * sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(x, y, strict=True)) <= len(a) + len(b)
+            assert len(x) == near_copies.SKETCH and (found or 5 * both < 4 * (len(a) + len(b) - both))
+            passed[found] += 1
+    assert min(passed.values()) > 50
+
+
+def test_a_group_of_half_alike_texts_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        mine = list(base)
+        for at in rng.sample(range(150), 7):  # about 0.5 to 0.7 alike, near copies nowhere or nearly so
+            mine[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(mine)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: sizes.append(pairs.distinct().count()) or verified(pairs, *more))
+    assert sorted((r.doc_id for r in near_copies.kept(docs).collect()), key=str) == plain_kept(rows)
+    assert len(sizes) == 2 and sizes[1] < 250 * 249 / 2 / 20
+
+
+def test_stage_leaves_no_tables_but_what_it_drops(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, None), (None, "x"), (None, "x"), (None, "y")], "doc_id bigint, text string")
+    out = dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, SF)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["near-dropped"]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a b c d e f"), (2, None), (None, "x"), (None, "y")], key=str)
+
+
+def test_left_out_is_an_anti_join_with_or_without_its_filter(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("nullif(id, 7) AS doc_id", "concat('d', id % 50) AS digest", "id")
+    out = docs.where("id % 9 = 0 OR id = 7").select("doc_id", "digest")
+    for most in (near_copies.FILTER_ROWS, 10):
+        monkeypatch.setattr(near_copies, "FILTER_ROWS", most)
+        assert sorted(r.id for r in near_copies.left_out(docs, out).collect()) == [i for i in range(4000) if i % 9 and i != 7]
+        assert near_copies.left_out(docs, out.limit(0)).count() == 4000

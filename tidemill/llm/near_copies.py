@@ -4,10 +4,11 @@ A text is the set of the XXH64 hashes of its shingles; equal sets are one set. S
 linked by multi-index hashing (simhash.links), and each pair that they propose is verified on complete sets.
 A fingerprint says nothing for certain: sets of similarity PART / WHOLE may differ in more bits than can be looked up.
 So the pairs beyond are found by prefixes: in one order for all texts, rare shingles first, two sets as similar share
-a shingle among the first n - ceil(n * PART / WHOLE) + 1 of each; bounds by size and position drop most others,
+a shingle among the first n - ceil(n * PART / WHOLE) + 1 of each; bounds by size, position and parity drop most others,
 and the rest are verified. The order rests on a sample and changes the time only, never the pairs.
 A shingle that many sets share would make pairs with the square of their number: each set is first linked with the
-least set of each of its shingles, and only sets of different components are paired after that.
+least set of each of its shingles, and only sets of different components are paired after that, those that pass the
+bounds within the join.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, staged, trim
+from .shared import by_bytes, passing, staged, trim
 from .simhash import BITS, links, stars
 
 #: Words in a shingle; similarity from which texts are near copies, as a fraction.
 SHINGLE, PART, WHOLE = 5, 4, 5
 #: Texts sampled for the order of shingles; frequent shingles kept of them.
 ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
+#: Bins of the parities that go through joins (words of 64); rows, and bits, that a filter sent to all tasks stands for at most.
+SKETCH, FILTER_ROWS, FILTER_BITS = 4, 1 << 22, 1 << 26
+#: Sets that a task knows to have given out the prefix of.
+SEEN = 100_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -61,6 +66,39 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def sketch(bits: bytes) -> list[int]:
+    """parities folded to SKETCH * 64 bins, in which the same bound holds, as signed 64-bit numbers."""
+    x = np.frombuffer(bits, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, SKETCH * 8), axis=0).view("<i8").tolist()
+
+
+def _among(keys: DataFrame) -> Column:
+    """Whether a row with doc_id and digest may be among keys; true for all of them and for few others. It spares joins
+    with few rows the shuffle of all; the join decides. Beyond FILTER_ROWS keys it is true for all."""
+    n = keys.count()
+    if n > FILTER_ROWS:
+        return F.lit(True)
+    size = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(size))
+    marked = np.zeros(size, np.bool_)
+    marked[keys.select(place.alias("place")).toArrow().column(0).to_numpy()] = True
+    sent = keys.sparkSession.sparkContext.broadcast(np.packbits(marked, bitorder="little"))
+
+    def run(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return F.arrow_udf(run, "boolean")(place)
+
+
+def left_out(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, digest and others) without those that out (doc_id, digest) names."""
+    gone = out.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    may = _among(out)
+    some = docs.where(may).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_anti")
+    return docs.where(~may).unionByName(some)
+
+
 def _frequent(docs: DataFrame) -> list[int]:
     """Shingles that several sampled texts have, the most frequent last."""
 
@@ -75,7 +113,8 @@ def _frequent(docs: DataFrame) -> list[int]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), id (equal for equal sets), n (shingles), fp (SimHash), prefix, in the common order, and bits (parities) of every row of docs."""
+    """doc_id, digest (of the text), id (equal for equal sets), n (shingles), fp (SimHash), bits (parities), sketch and prefix, in
+    the common order, of every row of docs; a task gives out the prefix of most sets once, whatever their copies."""
     order = np.array(_frequent(docs), np.int64)
     by_value = np.argsort(order)
     sent = docs.sparkSession.sparkContext.broadcast((order[by_value], by_value))  # bounded by ORDER_SHINGLES
@@ -89,20 +128,31 @@ def sets(docs: DataFrame) -> DataFrame:
         return np.concatenate((h[~late], h[late][np.argsort(rank[at[late]])]))
 
     def run(batches):
+        seen: set[int] = set()
+
+        def prefix(i: int, h: np.ndarray) -> np.ndarray:
+            if len(h) < 2 or i in seen:
+                return h[:0]
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(i)
+            return ordered(h)[: len(h) + (-len(h) * PART) // WHOLE + 1]
+
         for batch in batches:
             for part in by_bytes(batch, 2):
                 found = [shingles(t) for t in part.column(2).to_pylist()]
-                ids = pa.array([xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in found], pa.uint64())
-                n = pa.array([len(h) for h in found], pa.int64())
-                fp = pa.array([fingerprint(h) for h in found], pa.int64())
-                first = [ordered(h)[: len(h) + (-len(h) * PART) // WHOLE + 1] if len(h) > 1 else h[:0] for h in found]
+                ids = [xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in found]
+                bits = [parities(h) for h in found]
+                first = [prefix(i, h) for i, h in zip(ids, found, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first)))
-                bits = pa.array([parities(h) for h in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids.view(pa.int64()), n, fp, lists, bits], names=["doc_id", "digest", "id", "n", "fp", "prefix", "bits"])
+                own = [pa.array(ids, pa.uint64()).view(pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([fingerprint(h) for h in found], pa.int64())]
+                own += [pa.array(bits, pa.binary()), pa.array([sketch(b) for b in bits], pa.list_(pa.int64())), lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own], names=["doc_id", "digest", "id", "n", "fp", "bits", "sketch", "prefix"])
         trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest string, id bigint, n bigint, fp bigint, prefix array<bigint>, bits binary")
+    fields = f"doc_id {kind}, digest string, id bigint, n bigint, fp bigint, bits binary, sketch array<bigint>, prefix array<bigint>"
+    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, fields)
 
 
 def digest() -> Column:
@@ -131,9 +181,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose complete sets are as similar as asked; sets are made again of one text of each id needed."""
     pairs = staged(_likely(staged(pairs.distinct(), "near-pairs"), rows), "near-likely")
     least = rows.join(_ends(pairs), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("s"))
-    wanted = staged(least.select("id", F.col("s.doc_id").alias("own"), F.col("s.digest").alias("digest")), "near-wanted")
-    texts = docs.select("doc_id", digest().alias("__own"), "text")
-    texts = texts.join(wanted, (F.col("__own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "text")
+    wanted = staged(least.select("id", "s.doc_id", "s.digest"), "near-wanted")
+    texts = docs.select("doc_id", digest().alias("digest"), "text").where(_among(wanted.select("doc_id", "digest")))
+    named = wanted.select("id", F.col("doc_id").alias("own"), F.col("digest").alias("named"))
+    texts = texts.join(named, (F.col("named") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "text")
 
     def run(batches):
         for batch in batches:
@@ -161,12 +212,11 @@ def proposed(rows: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the ids of rows (as sets() gives them of docs) that have near copies, roots themselves left out."""
-    unique = rows.where("n > 1").groupBy("id").agg(F.first(F.struct("n", "prefix")).alias("s"))
-    entries = unique.select("id", F.col("s.n").alias("n"), F.posexplode("s.prefix").alias("at", "shingle"))
+    entries = rows.where("n > 1").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
     same = Window.partitionBy("shingle")
     least = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"))).over(same)
-    shared = entries.withColumn("sharing", F.count(F.lit(1)).over(same)).withColumn("least", least).where("sharing > 1")
-    shared = staged(shared.select("id", "n", "at", "shingle", "least.*"), "near-shared")
+    shared = entries.withColumn("most", F.max("id").over(same)).withColumn("least", least).where("least.a < most")
+    shared = staged(shared.select("id", "n", "at", "shingle", "least.*").dropDuplicates(["shingle", "id"]), "near-shared")
 
     def alike(na: str, nb: str, ata: str, atb: str) -> Column:
         """Whether sizes, and what is left of both sets from a first common shingle on, allow the similarity."""
@@ -177,9 +227,14 @@ def components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     first = _verified(proposed(rows).unionByName(starred), rows, docs)
     root = staged(stars(first), "near-roots")
     known = shared.select("shingle", "id", "n", "at").join(root, shared.id == root.node, "left").select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+    known = known.withColumn("lo", F.min("root").over(same)).withColumn("hi", F.max("root").over(same)).where("lo < hi").drop("lo", "hi")
     known = staged(known, "near-known")
+    own = rows.join(known.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("s"))
+    known = staged(known.join(own.select("id", *[F.col("s")[i].alias(f"s{i}") for i in range(SKETCH)]), "id"), "near-sketched")
     x, y = known.alias("x"), known.alias("y")
-    apart = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & alike("x.n", "y.n", "x.at", "y.at"))
+    unlike = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    passes = alike("x.n", "y.n", "x.at", "y.at") & ((WHOLE + PART) * unlike <= (WHOLE - PART) * (F.col("x.n") + F.col("y.n")))
+    apart = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & passes)
     second = _verified(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), rows, docs)
     return stars(first.unionByName(second))
 
@@ -190,13 +245,16 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """Distinct (doc_id, digest) of rows of docs that don't stay, and whether rows that stay are repeated."""
-    rows = staged(sets(docs), "near-rows")
-    best = staged(_best(rows, docs), "near-kept").select(F.col("doc_id").alias("own"), F.col("digest").alias("best"))
-    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("best"))
-    marked = rows.select("doc_id", "digest").join(best, same, "left")
-    out = staged(marked.groupBy("doc_id", "digest").agg(F.first(F.col("best").isNotNull()).alias("stays"), F.count(F.lit(1)).alias("times")), "near-verdicts")
-    return out.where("not stays").select("doc_id", "digest"), not out.where("stays and times > 1").isEmpty()
+    """Distinct (doc_id, digest) of rows of docs that don't stay, and whether rows that stay are repeated. No other table is left."""
+    with passing(docs.sparkSession):
+        rows = staged(sets(docs), "near-rows")
+        best = staged(_best(rows, docs), "near-kept").select(F.col("doc_id").alias("own"), F.col("digest").alias("best"))
+        same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("best"))
+        marked = rows.select("doc_id", "digest").join(best, same, "left")
+        verdicts = marked.groupBy("doc_id", "digest").agg(F.first(F.col("best").isNotNull()).alias("stays"), F.count(F.lit(1)).alias("times"))
+        verdicts = staged(verdicts, "near-verdicts")
+        out = staged(verdicts.where("not stays").select("doc_id", "digest"), "near-dropped", lasting=True)
+        return out, not verdicts.where("stays and times > 1").isEmpty()
 
 
 def _best(rows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,12 +7,17 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Paths staged within passing(), which go at its end.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; where unset (as in tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,14 +33,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: computed once, short lineage, and safe when executors are lost."""
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: computed once, short lineage, and safe when executors are lost.
+    Within passing() it goes at its end, unless it is lasting."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if not lasting and (paths := _passing.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is staged within is deleted at the end; only lasting tables may be read after it."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def append_columns(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],
