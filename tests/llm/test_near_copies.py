@@ -159,3 +159,32 @@ def test_left_out_is_an_anti_join_with_or_without_its_filter(spark, monkeypatch)
         monkeypatch.setattr(near_copies, "FILTER_ROWS", most)
         assert sorted(r.id for r in near_copies.left_out(docs, out).collect()) == [i for i in range(4000) if i % 9 and i != 7]
         assert near_copies.left_out(docs, out.limit(0)).count() == 4000
+
+
+def test_prefixes_of_cells_share_one_cell_of_every_similar_pair():
+    rng = np.random.default_rng(7)
+    for n in (4, 5, 9, 63, 64, 100, 127, 128, 130, 159, 161, 255, 256, 319, 700, 1023, 1024, 1100):
+        for _ in range(25):
+            pool = np.unique(rng.integers(-(2**63), 2**63 - 1, 2 * n + 4))
+            ranks = np.where(rng.random(len(pool)) < rng.choice((0, 0.5, 1)), np.arange(len(pool)), -1)
+            size = rng.integers(n, n * 5 // 4 + 1)
+            most = near_copies.most_unlike(n, size)
+            gone = max(0, most - (size - n)) // 2  # as unlike as they may be, at random or all in one stretch
+            mixed = rng.permutation(len(pool)) if rng.random() < 0.7 else np.arange(len(pool))
+            a, b = np.sort(mixed[:n]), np.sort(mixed[gone : gone + size])
+            both = len(np.intersect1d(a, b))
+            assert 5 * both >= 4 * (n + size - both)
+            x, y = (near_copies.prefix(pool[i], ranks[i]) for i in (a, b))
+            assert np.array_equal(a, b) or len(np.intersect1d(x, y))
+
+
+def test_long_texts_with_a_few_common_passages_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    passages = [" ".join(f"p{i}-{j}" for j in range(60)) for i in range(150)]
+    rows = [(i, " ".join(rng.sample(passages, 20))) for i in range(200)]  # most pairs share some, none is a near copy
+    rows.append((200, rows[0][1] + " one more word"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: sizes.append(pairs.count()) or verified(pairs, *more))
+    assert sorted(r.doc_id for r in near_copies.kept(docs).collect()) == list(range(200))
+    assert sizes[1] < 200

@@ -1,14 +1,17 @@
-"""Near copies by SimHash and exact Jaccard similarity of word shingles; prefix filtering adds what SimHash misses.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles; cells of the sets add what SimHash misses.
 
 A text is the set of the XXH64 hashes of its shingles; equal sets are one set. SimHash fingerprints of all sets are
 linked by multi-index hashing (simhash.links), and each pair that they propose is verified on complete sets.
 A fingerprint says nothing for certain: sets of similarity PART / WHOLE may differ in more bits than can be looked up.
-So the pairs beyond are found by prefixes: in one order for all texts, rare shingles first, two sets as similar share
-a shingle among the first n - ceil(n * PART / WHOLE) + 1 of each; bounds by size, position and parity drop most others,
-and the rest are verified. The order rests on a sample and changes the time only, never the pairs.
-A shingle that many sets share would make pairs with the square of their number: each set is first linked with the
-least set of each of its shingles, and only sets of different components are paired after that, those that pass the
-bounds within the join.
+So the pairs beyond are found by cells: hashes are dealt into m cells by their high bits, and as a shingle that only one
+set has changes one cell, of two sets as similar with d such shingles all cells but d are equal, whole. In one order for
+all texts, cells with many rare shingles first, they therefore share one of the first d + 1 of each. That two sets agree
+on a whole cell by chance is much rarer than on one shingle, whose sharers grow in number with the input. Bounds by
+size, position and parity drop most others, and the rest are verified. The order rests on a sample and changes the time
+only, never the pairs.
+A cell that many sets share would make pairs with the square of their number: each set is first linked with one
+set of each of its cells, the least in one of CENTRES orders, and only sets of different components are paired after that, those that pass the bounds
+within the join, once for all cells that the same sets share.
 """
 
 from __future__ import annotations
@@ -27,7 +30,11 @@ SHINGLE, PART, WHOLE = 5, 4, 5
 #: Texts sampled for the order of shingles; frequent shingles kept of them.
 ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
 #: Bins of the parities that go through joins (words of 64); rows, and bits, that a filter sent to all tasks stands for at most.
-SKETCH, FILTER_ROWS, FILTER_BITS = 4, 1 << 22, 1 << 26
+SKETCH, FILTER_ROWS, FILTER_BITS = 16, 1 << 22, 1 << 26
+#: Cells of a small set, a power of two. Sets of CELLS * 2 ** i shingles and more, up to twice that, have as many cells.
+CELLS = 64
+#: Orders by which the sets of a cell choose the one that all are linked with first.
+CENTRES = 4
 #: Sets that a task knows to have given out the prefix of.
 SEEN = 100_000
 
@@ -44,9 +51,41 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
 
 
+def most_unlike(na: int, nb: int) -> int:
+    """Shingles at most that only one of two sets of na and nb shingles has, if they are as similar as asked."""
+    return (WHOLE - PART) * (na + nb) // (WHOLE + PART)
+
+
+def cells(h: np.ndarray, rank: np.ndarray, m: int, first: int) -> np.ndarray:
+    """Keys of the first so many of h's m cells in the common order; h ascends, rank is -1 for rare shingles."""
+    bits = m.bit_length() - 1
+    place = (h >> (64 - bits)) & (m - 1)
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    keys = np.add.reduceat(h.view(np.uint64), starts) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bits)
+    order = np.lexsort((keys, np.minimum.reduceat(rank, starts), -np.add.reduceat((rank < 0).astype(np.int64), starts)))[:first]
+    if first > len(keys):  # empty cells are equal too
+        empty = np.setdiff1d(np.arange(m), place)[: first - len(keys)].astype(np.uint64)
+        return np.concatenate((keys[order], (empty << np.uint64(8)) + np.uint64(bits))).view(np.int64)
+    return keys[order].view(np.int64)
+
+
+def prefix(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Keys of cells of which any other set as similar as asked has one: first those among m cells, as many as the set's
+    size asks for, then, if smaller sets with half as many cells may be as similar, those among these."""
+    n = len(h)
+    own = most_unlike(n, n * WHOLE // PART)
+    if not own:
+        return h[:0]
+    m = max(CELLS, 1 << (n.bit_length() - 1))
+    found = cells(h, rank, m, own + 1)
+    if m > CELLS and WHOLE * (m - 1) >= PART * n:
+        found = np.concatenate((found, cells(h, rank, m // 2, most_unlike(m - 1, n) + 1)))
+    return found
+
+
 def parities(h: np.ndarray) -> bytes:
-    """Whether an odd number of h falls into each of 2 to 4 len(h) bins (a power of two, 256 at least), by the low bits."""
-    bins = 1 << max(8, (2 * len(h) - 1).bit_length())
+    """Whether an odd number of h falls into each of 2 to 4 len(h) bins (a power of two, 1024 at least), by the low bits."""
+    bins = 1 << max(10, (2 * len(h) - 1).bit_length())
     return np.packbits(np.bincount(h & (bins - 1), minlength=bins).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -119,31 +158,30 @@ def sets(docs: DataFrame) -> DataFrame:
     by_value = np.argsort(order)
     sent = docs.sparkSession.sparkContext.broadcast((order[by_value], by_value))  # bounded by ORDER_SHINGLES
 
-    def ordered(h: np.ndarray) -> np.ndarray:
+    def ranks(h: np.ndarray) -> np.ndarray:
         values, rank = sent.value
         if not len(values):
-            return h
+            return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(values, h), len(values) - 1)
-        late = values[at] == h
-        return np.concatenate((h[~late], h[late][np.argsort(rank[at[late]])]))
+        return np.where(values[at] == h, rank[at], -1)
 
     def run(batches):
         seen: set[int] = set()
 
-        def prefix(i: int, h: np.ndarray) -> np.ndarray:
+        def once(i: int, h: np.ndarray) -> np.ndarray:
             if len(h) < 2 or i in seen:
                 return h[:0]
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(i)
-            return ordered(h)[: len(h) + (-len(h) * PART) // WHOLE + 1]
+            return prefix(h, ranks(h))
 
         for batch in batches:
             for part in by_bytes(batch, 2):
                 found = [shingles(t) for t in part.column(2).to_pylist()]
                 ids = [xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in found]
                 bits = [parities(h) for h in found]
-                first = [prefix(i, h) for i, h in zip(ids, found, strict=True)]
+                first = [once(i, h) for i, h in zip(ids, found, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first)))
                 own = [pa.array(ids, pa.uint64()).view(pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([fingerprint(h) for h in found], pa.int64())]
                 own += [pa.array(bits, pa.binary()), pa.array([sketch(b) for b in bits], pa.list_(pa.int64())), lists]
@@ -212,29 +250,33 @@ def proposed(rows: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the ids of rows (as sets() gives them of docs) that have near copies, roots themselves left out."""
-    entries = rows.where("n > 1").select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
-    same = Window.partitionBy("shingle")
-    least = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"))).over(same)
-    shared = entries.withColumn("most", F.max("id").over(same)).withColumn("least", least).where("least.a < most")
-    shared = staged(shared.select("id", "n", "at", "shingle", "least.*").dropDuplicates(["shingle", "id"]), "near-shared")
+    entries = rows.where("n > 1").select("id", "n", F.posexplode("prefix").alias("at", "cell"))
+    own = F.expr(f"(n + n * {WHOLE} div {PART}) * {WHOLE - PART} div {WHOLE + PART} + 1")  # what follows is among half as many cells
+    entries = entries.select("id", "n", F.when(F.col("at") < own, F.col("at")).otherwise(F.col("at") - own).alias("at"), "cell")
+    same = Window.partitionBy("cell")
+    order = F.xxhash64("id", F.pmod("cell", F.lit(CENTRES)))
+    centre = F.min(F.struct(order.alias("order"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"))).over(same)
+    shared = entries.withColumn("lo", F.min("id").over(same)).withColumn("hi", F.max("id").over(same)).withColumn("centre", centre).where("lo < hi")
+    shared = staged(shared.select("id", "n", "at", "cell", "centre.a", "centre.na", "centre.ata").dropDuplicates(["cell", "id"]), "near-shared")
 
     def alike(na: str, nb: str, ata: str, atb: str) -> Column:
-        """Whether sizes, and what is left of both sets from a first common shingle on, allow the similarity."""
+        """Whether sizes, and the places of a first common cell, allow the similarity."""
         na, nb, ata, atb = map(F.col, (na, nb, ata, atb))
-        return (WHOLE * F.least(na, nb) >= PART * F.greatest(na, nb)) & ((PART + WHOLE) * F.least(na - ata, nb - atb) >= PART * (na + nb))
+        return (WHOLE * F.least(na, nb) >= PART * F.greatest(na, nb)) & ((PART + WHOLE) * F.greatest(ata, atb) <= (WHOLE - PART) * (na + nb))
 
-    starred = shared.where((F.col("a") < F.col("id")) & alike("n", "na", "at", "ata")).select("a", F.col("id").alias("b"))
+    starred = shared.where((F.col("a") != F.col("id")) & alike("n", "na", "at", "ata")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
     first = _verified(proposed(rows).unionByName(starred), rows, docs)
     root = staged(stars(first), "near-roots")
-    known = shared.select("shingle", "id", "n", "at").join(root, shared.id == root.node, "left").select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-    known = known.withColumn("lo", F.min("root").over(same)).withColumn("hi", F.max("root").over(same)).where("lo < hi").drop("lo", "hi")
-    known = staged(known, "near-known")
+    known = shared.select("cell", "id", "n", "at").join(root, shared.id == root.node, "left").select("cell", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+    known = known.withColumn("lo", F.min("root").over(same)).withColumn("hi", F.max("root").over(same)).withColumn("group", F.bit_xor(F.xxhash64("id")).over(same)).where("lo < hi")
+    # cells that the same sets share make the same pairs: one group stands for them, with the first place of each set
+    known = staged(known.groupBy("group", "id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("at").alias("at")), "near-known")
     own = rows.join(known.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("s"))
     known = staged(known.join(own.select("id", *[F.col("s")[i].alias(f"s{i}") for i in range(SKETCH)]), "id"), "near-sketched")
     x, y = known.alias("x"), known.alias("y")
     unlike = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
     passes = alike("x.n", "y.n", "x.at", "y.at") & ((WHOLE + PART) * unlike <= (WHOLE - PART) * (F.col("x.n") + F.col("y.n")))
-    apart = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & passes)
+    apart = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & passes)
     second = _verified(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), rows, docs)
     return stars(first.unionByName(second))
 
