@@ -212,3 +212,26 @@ def test_topic(tmp_path):
     assert [m["body"] for m in t.pull("g", 9)] == ["c"]
     assert t.trim(acked=True) == 2 and [m["offset"] for m in t.read(0, 9)] == [2]
     assert t.trim(max_age_ms=10, now_ms=9000) == 1 and t.next_offset() == 3
+
+
+def test_many_nearest_without_a_row_for_each_pair(spark, tmp_path):
+    """Ties go by id, pairs without a distance are left out, and no plan joins the rows with the queries."""
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(1, 90)] + [(0, [0.0] * 3), (100, None), (120, [1.0]), (140, [float("nan")] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<float>")
+    asked = df.where("vec_id % 20 = 0")
+    pairs = df.crossJoin(asked.select(F.col("vec_id").alias("query"), F.col("v").alias("q")))
+    index = V.IvfIndex(lists=4, probes=4).build(df.where("vec_id < 100"), "v", str(tmp_path / "ivf"))
+    for metric in ("cosine", "l2", "inner_product"):
+        every = V.top_per_group(pairs.withColumn("distance", S.distance(F.col("v"), F.col("q"), metric)).where("distance IS NOT NULL"), ["query"], ["distance", "vec_id"], 3).select("query", "vec_id", "distance")
+        got = V.nearest_many(df, asked, "vec_id", "v", 3, metric)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, every.collect()))
+        found, known = index.search_many(asked, "vec_id", "v", 3, metric), V.nearest_many(df.where("vec_id < 100"), asked, "vec_id", "v", 3, metric)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, known.collect()))
+        assert not any("Join" in x._jdf.queryExecution().executedPlan().toString() for x in (got, found))
+
+
+def test_recall_counts_a_vector_without_neighbours_as_a_query(spark, tmp_path):
+    from tidemill import catalogue
+
+    spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(40)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [tuple(r) for r in catalogue.QUERIES["ivf_recall"](spark, str(tmp_path)).collect()] == [(2, True)]
