@@ -50,3 +50,12 @@ def test_holt_winters_has_the_digits_of_its_sql(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{larger}/events.parquet'")
     want = dict(con.execute(catalogue.ORACLE_SQL["holt_winters"]).fetchall())
     assert {r.event_id: r.s for r in catalogue.QUERIES["holt_winters"](spark, larger).collect()} == want
+
+
+def test_distinct_count_holds_no_sketch_for_each_value(spark, tmp_path):
+    """Rows without a type are a group too."""
+    spark.sql("SELECT id AS event_id, timestamp_micros(id) AS ts, id % 5 AS user_id, IF(id % 3 = 0, NULL, 'a') AS event_type, IF(id % 7 = 0, NULL, CAST(id % 50 AS double)) AS value, '{}' AS props FROM range(600)").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["distinct_count"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", True), (None, True)]
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("approx_count_distinct" in x and "value" in x.partition("keys=[")[2].partition("]")[0] for x in plan)
